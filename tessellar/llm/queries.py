@@ -9,6 +9,8 @@ from tessellar.llm.format_dups import collapse, sequence_key, set_of_sequences_k
 from tessellar.llm.leakage import leaks
 from tessellar.llm.mojibake import garbled
 from tessellar.llm.near_dup import record_groups, record_pairs, similar_sets
+from tessellar.llm.neighbors import nearest
+from tessellar.llm.packing import pack, summary
 from tessellar.llm.split_overlap import near_matches
 from tessellar.llm.words import all_text, words
 
@@ -46,12 +48,31 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("origin", "split", "source").agg(F.countDistinct("eval_id").alias("records"), F.countDistinct("train_key").alias("recipes"), F.count(F.lit(1)).alias("links"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs in which one vector is among the five nearest of the other, of both vector tables."""
+    pairs = None
+    for name in ("recipe_embeddings", "intent_embeddings"):
+        n = nearest(_t(spark, d, name), "id", "embedding", k=5)
+        p = n.select(F.least("id", "neighbor").alias("id_a"), F.greatest("id", "neighbor").alias("id_b")).distinct()
+        pairs = p if pairs is None else pairs.unionByName(p)
+    return pairs
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     g = collapse(_t(spark, d, "golden_report"), "report_id", sequence_key(F.col("query_text"))).withColumn("origin", F.lit("golden_report"))
     r = collapse(_t(spark, d, "recipes"), "id", set_of_sequences_key(F.col("paraphrases"))).withColumn("origin", F.lit("recipes"))
     return r.unionByName(g).filter("copies > 1").select("origin", "first_id", "copies")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """What each container of 2,048 tokens holds."""
+    return pack(_t(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return summary(pack(_t(spark, d, "documents"), "doc_id", "text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_items"), "item_id", "text", words=12).select("doc_id", "item_id")
 
@@ -69,7 +90,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled(_t(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_counts": p3_counts, "p6_found": p6_found, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_containers": p7_containers, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _W = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))"
 _LIKE = "(len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))))"
