@@ -1,15 +1,16 @@
 """Near-duplicate records: all pairs of word sets with a likeness of at least t, without comparing all pairs.
 
 Every record keeps a *bottom-k sketch*: the k smallest values of its words under one hash function, whose leading bits
-are the word's (sketched) frequency, so that rare words come first.  k = n - ceil(t n) + 1 follows the record's size n:
-two sets with likeness >= t then share a retained value for certain, so no pair is lost to sampling.  Inverted lists of
-the retained values generate overlaps; the union of two sketches bounds the likeness from above and drops most pairs;
+are the word's (sketched) frequency, so that rare words come first.  k follows from the record's size and from the size
+of the partner (in bands of a tenth): two sets with likeness >= t then share a retained value for certain, so no pair is
+lost to sampling.  Inverted lists of the retained values, kept apart by the bands of both sizes, generate overlaps; the union of two sketches bounds the likeness from above and drops most pairs;
 exact word sets verify the rest.  Equal word sets are one *class* before all this, so a third of all rows being copies
 of one record costs one list entry.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,10 @@ from tessellar.llm.words import cell_counts, needed, rarity_keys, set_digest
 from tessellar.session import cut_lineage
 
 
+#: Width of a band of set sizes, as a logarithm.
+_BAND = math.log(1.1)
+
+
 @dataclass
 class Similar:
     members: DataFrame  #: id, class_id - every record that has words
@@ -39,26 +44,40 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     members = base.select("id", "digest").join(classes.select("digest", "class_id"), "digest").select("id", "class_id").distinct()
 
     counts = cell_counts(classes, "words")
-    k = F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1
-    sketches = rarity_keys(classes.select("class_id", "n", "words"), "words", counts, "_keys").select(
-        "class_id", "n", k.cast("int").alias("k"), F.slice("_keys", F.lit(1), k.cast("int")).alias("sketch")
+    # A sketch for each band of partner sizes: the larger the partner, the more must be shared, the fewer values are kept.
+    n = F.col("n")
+    band = lambda c: F.floor(F.log(c) / F.lit(_BAND) + F.lit(1e-9)).cast("int")
+    fewest = F.greatest(F.ceil(F.lit(t) * n - F.lit(1e-9)), F.floor(F.exp(F.col("partner") * F.lit(_BAND)) + F.lit(1e-6)))
+    sketches = (
+        rarity_keys(classes.select("class_id", "n", "words"), "words", counts, "_keys")
+        .withColumn("band", band(n))
+        .withColumn("partner", F.explode(F.sequence(band(F.ceil(F.lit(t) * n - F.lit(1e-9))), band(F.floor(n / F.lit(t) + F.lit(1e-9))))))
+        .withColumn("k", (n - needed(n, fewest, t) + 1).cast("int"))
+        .filter("k > 0")
+        .select("class_id", "n", "k", "band", "partner", F.slice("_keys", F.lit(1), F.col("k")).alias("sketch"))
     )
-    lists = sketches.select("class_id", "n", "k", F.element_at("sketch", -1).alias("top"), F.posexplode("sketch").alias("pos", "value"))
-    a, b = lists.alias("a"), lists.alias("b")
-    ordered = F.struct(F.col("a.n"), F.col("a.class_id")) < F.struct(F.col("b.n"), F.col("b.class_id"))
-    met = a.join(b, (F.col("a.value") == F.col("b.value")) & ordered & (F.col("a.n") >= F.ceil(F.lit(t) * F.col("b.n") - F.lit(1e-9))))
+    lists = sketches.select("class_id", "n", "k", "band", "partner", F.element_at("sketch", -1).alias("top"), F.posexplode("sketch").alias("pos", "value"))
+    a = lists.filter("band <= partner").alias("a")
+    b = lists.filter("band >= partner").alias("b")
+    same = (F.col("a.value") == F.col("b.value")) & (F.col("a.band") == F.col("b.partner")) & (F.col("a.partner") == F.col("b.band"))
+    once = (F.col("a.band") < F.col("b.band")) | (F.struct(F.col("a.n"), F.col("a.class_id")) < F.struct(F.col("b.n"), F.col("b.class_id")))
+    met = a.join(b, same & once & (F.col("a.n") >= F.ceil(F.lit(t) * F.col("b.n") - F.lit(1e-9))))
     hits = met.groupBy(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).agg(
         F.count(F.lit(1)).alias("shared"),
+        F.min("a.pos").alias("fa"),
+        F.min("b.pos").alias("fb"),
         F.max("a.pos").alias("pa"),
         F.max("b.pos").alias("pb"),
-        *[F.first(f"{s}.{c}").alias(f"{c}{s}") for s in "ab" for c in ("n", "k", "top")],
+        *[F.max(f"{s}.{c}").alias(f"{c}{s}") for s in "ab" for c in ("n", "k", "top")],
     )
     # Union sketch: below the smaller of the two largest retained values both sketches are complete, so what is shared
     # there is known; the rest of either set bounds what else can be shared.
     rest = F.when(F.col("topa") <= F.col("topb"), F.least(F.col("na") - F.col("ka"), F.col("nb") - 1 - F.col("pb"))).otherwise(
         F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - F.col("kb"))
     )
-    kept = hits.filter(F.col("shared") + F.greatest(rest, F.lit(0)) >= needed(F.col("na"), F.col("nb"), t)).select("x", "y")
+    o = needed(F.col("na"), F.col("nb"), t)
+    early = (F.col("fa") <= F.col("na") - o) & (F.col("fb") <= F.col("nb") - o)
+    kept = hits.filter(early & (F.col("shared") + F.greatest(rest, F.lit(0)) >= o)).select("x", "y")
     w = classes.select("class_id", "words", "n")
     exact = (
         kept.join(w.select(F.col("class_id").alias("x"), F.col("words").alias("wx"), F.col("n").alias("nx")), "x")
