@@ -11,6 +11,14 @@ _ACCENTED = [(chr(o), unicodedata.normalize("NFD", chr(o))[0]) for o in range(0x
 _FROM, _TO = "".join(a for a, _ in _ACCENTED), "".join(b for _, b in _ACCENTED)
 
 
+SPACE = " \t\n\r\f\v\u00a0"
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.trim(c, F.lit(SPACE))
+
+
 def collapse_space(c: Column) -> Column:
     """STR-01: trimmed, white space runs as one blank."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -61,7 +69,7 @@ def query_tokens(c: Column) -> Column:
 
 def junk_reason(c: Column) -> Column:
     """FLT-03: why a query isn't fit to keep, first reason in order; null if it is."""
-    q = F.trim(F.coalesce(c, F.lit("")))
+    q = trimmed(F.coalesce(c, F.lit("")))
     return (
         F.when(q == "", "empty")
         .when(F.length(q) < 2, "too_short")
