@@ -21,7 +21,7 @@ def trimmed(c: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """STR-01: trimmed, white space runs as one blank."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
 
 
 def plain_query(c: Column) -> Column:

@@ -115,7 +115,7 @@ _EMB = """emb_src AS ({0}),
   ew AS (SELECT key, sha256(w[i]) AS h, len(w) AS n FROM et, unnest(range(1, len(w) + 1)) AS u(i)),
   ev AS (SELECT key, j, sum((('0x' || substr(h, 2 * j + 1, 2))::INT / 255.0) * 2 - 1) / any_value(n) AS v FROM ew, unnest(range(0, 32)) AS u(j) GROUP BY key, j),
   en AS (SELECT key, list(v ORDER BY j) AS v FROM ev GROUP BY key)"""
-_CORE = f"""WITH {_bm25_sql(_R, "SELECT id AS query_id, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query FROM queries WHERE query IS NOT NULL", "")},
+_CORE = f"""WITH {_bm25_sql(_R, "SELECT id AS query_id, trim(regexp_replace(query, '[\\s\\p{Z}]+', ' ', 'g')) AS query FROM queries WHERE query IS NOT NULL", "")},
   {_EMB.format('''SELECT 'q' || query_id AS key, query AS txt FROM qs WHERE query <> ''
      UNION ALL SELECT 'r' || id, array_to_string(list_filter(list_concat([description], coalesce(paraphrases, [])), lambda x: x IS NOT NULL AND trim(x) <> ''), chr(10)) FROM recipes''')},
   kn AS (SELECT substr(a.key, 2) AS query_id, substr(b.key, 2) AS id, round(list_cosine_similarity(a.v, b.v), 12) AS cosine FROM en a, en b WHERE a.key[1] = 'q' AND b.key[1] = 'r'),
@@ -154,5 +154,5 @@ ORACLES = {
   n AS (SELECT *, CASE WHEN cosine IS NULL THEN NULL WHEN c1 = c0 THEN 1.0 ELSE (cosine - c0) / (c1 - c0) END AS sc, CASE WHEN bm25 IS NULL THEN NULL WHEN b1 = b0 THEN 1.0 ELSE (b1 - bm25) / (b1 - b0) END AS sb FROM m)
 SELECT query_id, id, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, round(sc, 6) AS score_cosine, round(sb, 6) AS score_bm25,
   round(CASE WHEN c1 IS NOT NULL AND b1 IS NOT NULL THEN 0.55 * coalesce(sc, 0) + 0.45 * coalesce(sb, 0) WHEN c1 IS NOT NULL THEN coalesce(sc, 0) ELSE coalesce(sb, 0) END, 6) AS score FROM n""",
-    "hybrid_ranked": _CORE + " SELECT query_id, id, rank, round(score, 6) AS score, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, round(boost, 6) AS boost FROM ra",
+    "hybrid_ranked": _CORE + " SELECT query_id, id, rank, round(score, 6) AS score, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, round(boost::DOUBLE, 6) AS boost FROM ra",
 }
