@@ -8,15 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 from pyspark.sql.utils import AnalysisException
 
-RECIPE = StructType.fromDDL(
+#: Schemas are always stated, never inferred.
+RECIPE = (
     "id string, title string, description string, tags array<string>, taxonomy_leaf string, paraphrases array<string>, provenance string, "
     "validated boolean, commands array<struct<command:string,comment:string>>, initial_state string, risk double"
 )
-BANK = StructType.fromDDL("report_id string, query_text string, command_id string, kind string, mutation_kind string, primary_verb string, source string, report_only boolean")
-EVENT = StructType.fromDDL(
+BANK = "report_id string, query_text string, command_id string, kind string, mutation_kind string, primary_verb string, source string, report_only boolean"
+EVENT = (
     "id string, name string, createdAt string, sessionId string, distinctId string, data struct<query:string, mock:string, catalog_version:string, session_id:string, "
     "response:struct<status:string, confidence:double, displayCount:bigint, results:array<struct<command_id:string>>>>"
 )
@@ -27,26 +28,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False, missing_ok: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, missing_ok: bool = True) -> DataFrame:
     """SRC-08: a JSON document a line; a missing file is an empty table.  ``strict`` fails on a bad line, else bad lines are left out."""
-    field = "_corrupt_record"
     try:
-        if strict:
-            return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        wide = StructType(schema.fields).add(field, "string")
-        df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", field).json(path)
+        lines = spark.read.text(path).filter(F.trim("value") != "")
     except AnalysisException as e:
         if missing_ok and "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], schema)
         raise
-    return df.filter(F.col(field).isNull()).drop(field)
+    if strict:
+        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    row = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(row.alias("r")).filter("r is not null and r._corrupt is null").select("r.*").drop("_corrupt")
 
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
     """SRC-07, SRC-09: recipes of a JSON document that is an array or an object with ``recipes``; nothing in it is an error."""
     text = spark.read.option("wholetext", True).text(path)
-    item = RECIPE.simpleString()
-    rows = F.coalesce(F.from_json("value", f"struct<recipes:array<{item}>>").getField("recipes"), F.from_json("value", f"array<{item}>"))
+    rows = F.coalesce(F.from_json("value", f"recipes array<struct<{RECIPE}>>").getField("recipes"), F.from_json("value", f"array<struct<{RECIPE}>>"))
     df = text.select(F.explode(rows).alias("r")).select("r.*").filter("id is not null")
     if df.isEmpty():
         raise ValueError(f"no recipes in {path}")
@@ -78,7 +77,7 @@ def decode_vectors(df: DataFrame, blob: str, dim: int, out: str = "embedding") -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             p = p[[b is not None and len(b) >= 4 * dim for b in p[blob]]]
-            yield p.drop(columns=[blob]).assign(**{out: [np.frombuffer(b, dtype="<f4", count=dim) for b in p[blob]]})
+            yield p.drop(columns=[blob]).assign(**{out: pd.Series([np.frombuffer(b, dtype="<f4", count=dim) for b in p[blob]], index=p.index, dtype=object)})
 
     keep = [f for f in df.schema.fields if f.name != blob]
-    return df.mapInPandas(run, StructType(keep).add(out, "array<float>"))
+    return df.mapInPandas(run, StructType(keep).add(out, ArrayType(FloatType())))

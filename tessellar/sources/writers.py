@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -87,10 +87,10 @@ def encode_vectors(df: DataFrame, vector: str, out: str = "vec") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield p.drop(columns=[vector]).assign(**{out: [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in p[vector]]})
+            yield p.drop(columns=[vector]).assign(**{out: pd.Series([None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in p[vector]], index=p.index, dtype=object)})
 
     keep = [f for f in df.schema.fields if f.name != vector]
-    return df.mapInPandas(run, StructType(keep).add(out, "binary"))
+    return df.mapInPandas(run, StructType(keep).add(out, BinaryType()))
 
 
 def checksum(df: DataFrame) -> str:
