@@ -137,22 +137,22 @@ def align_windows(item: np.ndarray, windows: list, text: np.ndarray, lo: int, wi
     All windows advance together, a row of the dynamic program at a time."""
     start = np.array([s for s, _ in windows])
     length = np.array([n for _, n in windows])
+    longest = int(length.max())
+    # what lies outside the text matches nothing
+    text = np.concatenate([np.full(longest + width, 0xFFFFFFFF, np.uint32), text, np.full(longest + width, 0xFFFFFFFF, np.uint32)])
+    item = np.concatenate([item, np.zeros(longest, np.uint32)])
     cols = np.arange(width)
+    at = np.clip(start[:, None] + lo + longest + width + cols, 0, len(text) - longest - 1)
+    far = np.full((len(windows), 1), 1 << 20)
     best = np.full(len(windows), 1 << 20)
     row = np.zeros((len(windows), width), dtype=np.int64)
-    for i in range(1, int(length.max()) + 1):
-        live = length >= i
-        at = (start + i - 1)[:, None] + lo + cols
-        ok = (at >= 0) & (at < len(text))
-        ch = np.where(ok, text[np.clip(at, 0, len(text) - 1)], 0xFFFFFFFF)
-        mine = item[np.clip(start + i - 1, 0, len(item) - 1)][:, None]
-        step = row + (ch != mine)
-        drop = np.concatenate([row[:, 1:] + 1, np.full((len(windows), 1), 1 << 20)], axis=1)
-        new = np.minimum(step, drop)
-        new = np.minimum.accumulate(new - cols, axis=1) + cols
-        row = np.where(live[:, None], new, row)
-        done = length == i
-        best[done] = row[done].min(axis=1)
+    for i in range(longest):
+        step = row + (text[at + i] != item[start + i][:, None])
+        new = np.minimum(step, np.concatenate([row[:, 1:] + 1, far], axis=1)) - cols
+        row = np.minimum.accumulate(new, axis=1) + cols
+        done = length == i + 1
+        if done.any():
+            best[done] = row[done].min(axis=1)
     return best
 
 
@@ -167,18 +167,26 @@ def _banded(codes: np.ndarray, docs: np.ndarray, p: np.ndarray, g: np.ndarray, x
     doc = np.searchsorted(docs, p, "right") - 1
     key = np.stack([doc, item, band])
     order = np.lexsort((p, band, item, doc))
-    key, p = key[:, order], p[order]
+    key, p, g = key[:, order], p[order], g[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0).any(axis=0)]))
     ends = np.concatenate([first[1:], [len(p)]])
+    many = ends - first >= x.bound[key[1, first]]
     out = []
-    for f, z in zip(first, ends, strict=True):
+    for f, z in zip(first[many], ends[many], strict=True):
         d, i, k = key[:, f]
         if len(np.unique(p[f:z])) < x.bound[i]:
             continue
         a, z_doc = docs[d], docs[d + 1] if d + 1 < len(docs) else len(codes)
         s = x.starts[i]
         stop = x.starts[i + 1] - 1 if i + 1 < len(x.starts) else len(x.codes) - 1
-        best = align_windows(x.codes[s:stop], x.windows[i], codes[a:z_doc], int(k * b + s - a) - e, b + 3 * e + 1)
+        # each window by its own bound: of its q-grams those that were met in the band
+        met = np.unique(g[f:z]) - s
+        w = np.array(x.windows[i])
+        seen = np.searchsorted(met, w[:, 0] + w[:, 1] - x.q, "right") - np.searchsorted(met, w[:, 0])
+        w = w[seen >= np.maximum(1, w[:, 1] + 1 - x.q * (e + 1))]
+        if not len(w):
+            continue
+        best = align_windows(x.codes[s:stop], w, codes[a:z_doc], int(k * b + s - a) - e, b + 3 * e + 1)
         n = int((best <= e).sum())
         if n:
             out.append((int(p[f]), int(i), n))
