@@ -21,9 +21,9 @@ BLOCK = 1 << 20
 
 def uuid_hex(raw: Column) -> Column:
     """The 32 lower-case hex digits of a UUID in any common spelling (dashes, braces, urn:uuid:, case, blanks), else null."""
-    s = F.regexp_replace(F.lower(raw), r"^\s*\{?\s*(urn:)?(uuid:)?", "")
-    s = F.regexp_replace(s, r"[-{}\s()\"']", "")
-    return F.when(s.rlike("^[0-9a-f]{32}$"), s)
+    s = F.translate(F.lower(raw), "-{}()\"' \t\r\n", "")
+    s = F.when(s.startswith("urn:uuid:"), F.substring(s, 10, 40)).when(s.startswith("uuid:"), F.substring(s, 6, 40)).otherwise(s)
+    return F.when((F.length(s) == 32) & (F.translate(s, "0123456789abcdef", "") == ""), s)
 
 
 def uuid_text(hex32: Column) -> Column:
@@ -90,11 +90,12 @@ def accept(deliveries: DataFrame, id_col: str, order: list[str], carry: list[str
     hi) and ``seen_other`` (other) are what earlier batches accepted.
     """
     parsed = parse_identifier(deliveries, id_col)
-    known = F.col("_producer").isNotNull() | F.col("_other").isNotNull()
     fields = [*order, *[c for c in carry if c not in order]]
+    # a delivery without identifier is a group of its own
+    missing = F.col("_producer").isNull() & F.col("_other").isNull()
     first = (
-        parsed.filter(known)
-        .groupBy("_producer", "_number", "_other")
+        parsed.withColumn("_alone", F.when(missing, F.monotonically_increasing_id()))
+        .groupBy("_producer", "_number", "_other", "_alone")
         .agg(F.min(F.struct(*fields)).alias("_first"))
         .select("_producer", "_number", "_other", *[F.col(f"_first.{c}").alias(c) for c in fields])
     )
@@ -102,8 +103,7 @@ def accept(deliveries: DataFrame, id_col: str, order: list[str], carry: list[str
         first = uncovered(first.filter("_producer is not null"), seen).unionByName(first.filter("_producer is null"))
     if seen_other is not None:
         first = first.join(seen_other.select(F.col("other").alias("_other")), "_other", "left_anti").select(first.columns)
-    alone = parsed.filter(~known).select("_producer", "_number", "_other", *fields)
-    return first.unionByName(alone)
+    return first
 
 
 def repeats(deliveries: DataFrame, id_col: str, order: list[str]) -> DataFrame:
