@@ -28,12 +28,17 @@ def fuse(hits: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     return hits.withColumns({"score_cosine": nv, "score_bm25": nt}).withColumn("score", a * F.coalesce("score_cosine", F.lit(0.0)) + b * F.coalesce("score_bm25", F.lit(0.0)))
 
 
-def named_verbs(query: Column, known: Column) -> Column:
-    """RNK-04: verbs a query names, as ``git x`` or as a known verb among its tokens (also without its dashes)."""
+def named_verbs(query: Column, tokens: Column, known: list[str]) -> Column:
+    """RNK-04: verbs a query names, as ``git x`` or as a known verb among its ``tokens`` (also without its dashes).
+
+    To be computed once per query, not per hit.
+    """
+    empty = F.array().cast("array<string>")
     phrases = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"\bgit\s+([a-z0-9][-a-z0-9]*)"), F.lit(1))
-    tokens = query_tokens(query)
-    listed = F.filter(known, lambda v: F.array_contains(tokens, v) | (F.contains(v, F.lit("-")) & F.array_contains(tokens, F.replace(v, F.lit("-"), F.lit("")))))
-    return F.array_distinct(F.concat(phrases, listed))
+    listed = F.array_intersect(F.array(*map(F.lit, known)), tokens) if known else empty
+    dashed = [v for v in known if "-" in v]
+    bare = F.array_compact(F.array(*[F.when(F.array_contains(tokens, v.replace("-", "")), F.lit(v)) for v in dashed])) if dashed else empty
+    return F.array_distinct(F.concat(phrases, listed, bare))
 
 
 def verb_boost(named: Column, tokens: Column, primary: Column, verbs: Column, cfg: SearchConfig = SearchConfig()) -> Column:

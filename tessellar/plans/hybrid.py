@@ -41,11 +41,13 @@ def open_catalog(recipes: DataFrame, vectors: DataFrame | None = None) -> Catalo
             "step_count": F.greatest(F.size(steps), F.lit(1)),
             "primary_verb": bare_verb(primary_command(F.col("commands"))),
             "verbs": F.coalesce(F.array_distinct(F.filter(F.transform(steps, lambda s: bare_verb(s["command"])), lambda v: v != "")), empty),
-            "lines": F.transform(steps, lambda s: s["command"]),
+            "fingerprint": fingerprint(F.transform(steps, lambda s: s["command"])),
         }
-    )
+    ).select("id", "steps_json", "step_count", "primary_verb", "verbs", "fingerprint")
+    # index tables are made once and read by every search
+    derived = cut_lineage(derived)
     postings, sizes = build_index(recipes, "id", recipe_body())
-    vectors = recipes.select("id", embed(embed_text()).alias("embedding")) if vectors is None else vectors
+    vectors = cut_lineage(recipes.select("id", embed(embed_text()).alias("embedding"))) if vectors is None else vectors
     words = derived.select(F.explode("verbs").alias("v")).groupBy("v").count().orderBy(F.desc("count"), "v").limit(MAX_VERBS)
     return Catalog(derived, postings, sizes, vectors, sorted(r["v"] for r in words.select("v").collect()))
 
@@ -60,12 +62,12 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
     by_vector = knn(qv, catalog.vectors, cfg.recall_k).join(catalog.recipes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("id"), "cosine")
     by_text = top(bm25(q, catalog.postings, catalog.sizes, compat=cfg.compat_terms), ["query_id"], [F.asc("bm25"), F.asc("doc_id")], cfg.recall_k).select("query_id", F.col("doc_id").alias("id"), "bm25")
     hits = fuse(collapse_channels(by_vector, by_text), cfg)
-    slim = catalog.recipes.select("id", "steps_json", "step_count", "primary_verb", "verbs", "lines")
-    hits = hits.join(slim, "id").join(q, "query_id")
-    known = F.array(*[F.lit(v) for v in catalog.verbs]) if catalog.verbs else F.array().cast("array<string>")
+    words = q.withColumn("tokens", query_tokens(F.col("query")))
+    words = cut_lineage(words.select("query_id", "tokens", named_verbs(F.col("query"), F.col("tokens"), catalog.verbs).alias("named")))
+    hits = hits.join(catalog.recipes, "id").join(words, "query_id")
     # hits of the text channel alone carry no steps when they are boosted and ordered
     seen = F.col("cosine").isNotNull()
-    boost = F.when(seen, verb_boost(named_verbs(F.col("query"), known), query_tokens(F.col("query")), F.col("primary_verb"), F.col("verbs"), cfg)).otherwise(F.lit(0.0))
+    boost = F.when(seen, verb_boost(F.col("named"), F.col("tokens"), F.col("primary_verb"), F.col("verbs"), cfg)).otherwise(F.lit(0.0))
     hits = (
         hits.withColumn("boost", boost)
         .withColumn("score", F.when(F.col("boost") > 0, F.least(F.lit(1.0), F.col("score") + F.col("boost"))).otherwise(F.col("score")))
@@ -73,7 +75,7 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
         # scores that differ in the last bits only are ties
         .withColumn("score", F.round("score", 12))
     )
-    results = cut_lineage(ranked(hits.withColumn("fingerprint", fingerprint(F.col("lines")))).select("query_id", "id", "rank", "score", "cosine", "bm25", "score_cosine", "score_bm25", "boost", "fingerprint"))
+    results = cut_lineage(ranked(hits).select("query_id", "id", "rank", "score", "cosine", "bm25", "score_cosine", "score_bm25", "boost", "fingerprint"))
     gates = gate(head_scores(results), cfg)
     gates = q.join(gates, "query_id", "left").select(
         "query_id",
