@@ -65,7 +65,8 @@ def merge_families(old: DataFrame, new: DataFrame) -> DataFrame:
 def distinguished(families: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """HLP-13: families of which some text names two members."""
     member = families.select(F.lower("canonical").alias("canonical"), F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("m")).select("canonical", F.lower("m").alias("m")).distinct()
-    tokens = texts.select(F.monotonically_increasing_id().alias("_i"), F.explode(F.array_distinct(query_tokens(F.col(text)))).alias("m"))
+    numbered = texts.select(F.monotonically_increasing_id().alias("_i"), F.array_distinct(query_tokens(F.col(text))).alias("_t"))
+    tokens = numbered.select("_i", F.explode("_t").alias("m"))
     return tokens.join(member, "m").groupBy("_i", "canonical").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("canonical").distinct()
 
 
