@@ -2,8 +2,8 @@
 
 1. *Fit*, on the driver, on a bounded sample (at most ``MAX_SAMPLE`` vectors): coarse centroids by spherical k-means,
    about sqrt(N) of them, and codebooks of the residuals for ``parts`` slices of the dimensions.
-2. *Assign*, one pass over all vectors: each goes to the list of its nearest centroid, and as a query also to the
-   ``probes - 1`` next ones.  Vectors travel packed by (batch, list): as 16-bit decimals where that loses nothing, else
+2. *Assign*, one pass over all vectors: each goes to the list of its nearest centroid, and as a query also to those
+   whose centroids are nearly as similar, by a margin that gives ``probes`` lists a vector on average.  Vectors travel packed by (batch, list): as 16-bit decimals where that loses nothing, else
    as 32-bit floats.  Copies of a vector travel once per batch.
 3. *Search*, a task per list: members are coded by the codebooks of their residuals; a query's inner products with all
    codewords (its asymmetric distance table) rank the members, and the best ``rerank`` are ranked again by the exact
@@ -35,6 +35,8 @@ MAX_SAMPLE = 65_536
 #: Members of a list that one task handles, as far as the sample tells.
 LIST_ROWS = 4_000
 CODEWORDS = 256
+#: Most lists searched for one vector.
+MAX_PROBES = 8
 
 
 @dataclass
@@ -42,7 +44,7 @@ class Index:
     centroids: np.ndarray  # [lists, dim], unit
     codebooks: np.ndarray  # [parts, CODEWORDS, dim / parts]
     salts: np.ndarray  # tasks per list
-    probes: int
+    margin: float  # a list is searched if its centroid is at most this much less similar than the nearest one
     rerank: int
     k: int
 
@@ -86,7 +88,7 @@ def _nearest(x: np.ndarray, c: np.ndarray, spherical: bool) -> np.ndarray:
     return np.concatenate([np.argmax(x[a : a + 8192] @ c.T - half, axis=1) for a in range(0, len(x), 8192)])
 
 
-def fit(sample: np.ndarray, total: int, k: int, probes: int, rerank: int, parts: int, list_rows: int = LIST_ROWS, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, total: int, k: int, probes: float, rerank: int, parts: int, list_rows: int = LIST_ROWS, seed: int = 7) -> Index:
     """``sample``: raw vectors; ``total``: rows of the table."""
     rng = np.random.default_rng(seed)
     x = unit(sample).astype(np.float32)
@@ -97,7 +99,14 @@ def fit(sample: np.ndarray, total: int, k: int, probes: int, rerank: int, parts:
     few = res[rng.permutation(len(res))[:8192]]
     books = np.stack([_padded(kmeans(np.ascontiguousarray(few[:, j]), min(CODEWORDS, len(few)), 6, rng)) for j in range(parts)])
     share = np.bincount(near, minlength=lists) / max(len(x), 1)
-    return Index(c, books, np.maximum(1, np.ceil(share * total / list_rows)).astype(int), min(probes, lists), rerank, k)
+    # the margin that gives ``probes`` lists a query on average: vectors inside a cluster need fewer, those between clusters more
+    margin = 0.0
+    if lists > 1:
+        some = x[rng.permutation(len(x))[:8192]] @ c.T
+        near = -np.sort(-some, axis=1)[:, :MAX_PROBES]
+        gaps = np.sort((near[:, :1] - near[:, 1:]).ravel())
+        margin = float(gaps[min(len(gaps) - 1, int((probes - 1) * len(near)))])
+    return Index(c, books, np.maximum(1, np.ceil(share * total / list_rows)).astype(int), margin, rerank, k)
 
 
 def _padded(c: np.ndarray) -> np.ndarray:
@@ -152,18 +161,24 @@ def assign(batch: pa.RecordBatch, x: Index, dim: int) -> list[tuple[int, int, bo
     digests, rows, names, _ = _copies(ids, m, x.k + 1)
     m = m[rows]
     near = unit(m).astype(np.float32) @ x.centroids.T
-    lists = np.argpartition(-near, x.probes - 1, axis=1)[:, : x.probes] if x.probes < near.shape[1] else np.argsort(-near, axis=1)
-    lists = np.take_along_axis(lists, np.argsort(-np.take_along_axis(near, lists, 1), axis=1, kind="stable"), 1)
+    most = min(MAX_PROBES, near.shape[1])
+    lists = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    close = np.take_along_axis(near, lists, 1)
+    order = np.argsort(-close, axis=1, kind="stable")
+    lists, close = np.take_along_axis(lists, order, 1), np.take_along_axis(close, order, 1)
+    asked = close >= close[:, :1] - x.margin
+    asked[:, 0] = True
     out: list[tuple[int, int, bool, bytes]] = []
     for rank in range(lists.shape[1]):
-        for c in np.unique(lists[:, rank]):
-            at = np.flatnonzero(lists[:, rank] == c)
+        mine = np.flatnonzero(asked[:, rank])
+        for c in np.unique(lists[mine, rank]):
+            at = mine[lists[mine, rank] == c]
             salts = int(x.salts[c])
             own = np.array([digests[i][0] + 256 * digests[i][1] for i in at]) % salts
             for s in range(salts):
-                mine = at[own == s] if rank == 0 else at[:0]
-                if len(mine):
-                    out.append((int(c), s, True, pickle.dumps(([digests[i] for i in mine], [names[i] for i in mine], pack(m[mine])), 5)))
+                home = at[own == s] if rank == 0 else at[:0]
+                if len(home):
+                    out.append((int(c), s, True, pickle.dumps(([digests[i] for i in home], [names[i] for i in home], pack(m[home])), 5)))
                 asks = at[own != s] if rank == 0 else at
                 if len(asks):
                     out.append((int(c), s, False, pickle.dumps(([digests[i] for i in asks], None, pack(m[asks])), 5)))
@@ -216,7 +231,8 @@ def search_list(blobs: list[bytes], homes: list[bool], c: int, x: Index) -> tupl
             short = np.argpartition(-score, take - 1, axis=1)[:, :take]
         else:
             short = np.broadcast_to(np.arange(n), (len(q), n))
-        exact = np.round(np.einsum("qd,qrd->qr", q, member[short]), 12)
+        # one product of matrices costs less than gathering the shortlists' vectors; only shortlisted values are used
+        exact = np.round(np.take_along_axis(q @ member.T, short, 1), 12)
         order = np.argsort(-exact, axis=1, kind="stable")
         for i in range(len(q)):
             best: list[tuple[float, object]] = []
@@ -231,7 +247,7 @@ def search_list(blobs: list[bytes], homes: list[bool], c: int, x: Index) -> tupl
     return digests, [*known, *[[] for _ in seen]], ids_out, cos_out
 
 
-def fit_table(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int, probes: int, rerank: int, parts: int, list_rows: int = LIST_ROWS) -> Index | None:
+def fit_table(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int, probes: float, rerank: int, parts: int, list_rows: int = LIST_ROWS) -> Index | None:
     total = vectors.count()
     want = int(min(MAX_SAMPLE, max(4096, 48 * total**0.5)))
     share = min(1.0, 1.1 * want / max(total, 1))
@@ -242,7 +258,7 @@ def fit_table(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int, p
     return fit(sample, total, k, probes, rerank, parts, list_rows) if len(sample) else None
 
 
-def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 384, probes: int = 2, rerank: int = 64, parts: int = 32, list_rows: int = LIST_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int = 384, probes: float = 2.2, rerank: int = 128, parts: int = 48, list_rows: int = LIST_ROWS) -> DataFrame:
     """``id``, ``neighbor``, ``cosine``, ``rank`` (1..k): the k most similar other vectors of each usable vector.
 
     Usable are vectors of exactly ``dim`` finite values, not all zero, with an id.  Cosines equal to 12 decimals are
