@@ -14,7 +14,7 @@ from tessellar.operators import evaluation as ev
 from tessellar.operators import similarity as sim
 from tessellar.operators import taxonomy as tax
 from tessellar.operators.fulltext import embed_text, recipe_body
-from tessellar.operators.vectors import knn
+from tessellar.operators.vectors import close_pairs, knn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -389,13 +389,12 @@ def accept_attempt(spark, d):
 
 def _links(spark, d, least):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    near = knn(e.withColumnRenamed("id", "query_id"), e, 64, dim=64)
-    return e, near.filter((F.col("query_id") < F.col("doc_id")) & (F.col("cosine") >= least)).select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"))
+    return e, close_pairs(e, least, dim=64).select("a", "b")
 
 
 @query()
 def leader_clusters(spark, d):
-    """SIM-03, SIM-04, SIM-06 over each vector's 64 nearest (order-dependent; no SQL)."""
+    """SIM-03, SIM-04, SIM-06 (order-dependent; no SQL)."""
     e, links = _links(spark, d, 0.3)
     return sim.clusters(sim.greedy_keep(e, links))
 
