@@ -99,23 +99,36 @@ def record_pairs(found: Similar) -> DataFrame:
     return across.unionByName(within)
 
 
-def record_groups(found: Similar, max_rounds: int = 60) -> DataFrame:
-    """One row per record: ``id, class_id, group_id, links``; a group is a connected component of linked classes.
+def component_labels(links: DataFrame, a: str, b: str) -> DataFrame:
+    """``v``, ``label``: the smallest member of each linked node's connected component.
 
-    Labels spread by minimum, with pointer jumping; every round is checkpointed, so rounds grow with the logarithm of
-    the longest chain and a lost executor costs one round.
+    Large-star and small-star in turn (Kiveris and others 2014): a node's larger, then its smaller neighbours are hooked
+    to the smallest of all, until every component is a star around its smallest member.  Rounds grow with the square of
+    the logarithm of the nodes at most, and there is no other end than that star, so no component is left split.  Each
+    round is checkpointed, so a lost executor costs one round.
     """
+    e = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("u <> v").distinct()
+    e = cut_lineage(e)
+    while True:
+        # a star forest: one parent each, and no parent has a parent
+        parents = e.select(F.col("u").alias("v")).distinct()
+        open_ = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(parents.withColumn("up", F.lit(True)), "v", "left").filter("n > 1 or up")
+        if open_.isEmpty():
+            break
+        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"))
+        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u <> v")
+        e = cut_lineage(small.unionByName(least.withColumnRenamed("m", "u")).distinct())
+    return e.select("v", F.col("u").alias("label")).unionByName(e.select(F.col("u").alias("v"), F.col("u").alias("label")).distinct())
+
+
+def record_groups(found: Similar) -> DataFrame:
+    """One row per record: ``id, class_id, group_id, links``; a group is a connected component of linked classes."""
     p = cut_lineage(found.pairs.select("class_a", "class_b"))
     edges = p.unionByName(p.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
-    labels = cut_lineage(edges.groupBy(F.col("class_a").alias("v")).agg(F.min("class_b").alias("m")).select("v", F.least("v", "m").alias("label")))
-    for _ in range(max_rounds):
-        near = edges.join(labels, edges["class_b"] == labels["v"]).groupBy("class_a").agg(F.min("label").alias("m"))
-        spread = labels.join(near, labels["v"] == near["class_a"], "left").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = spread.select(F.col("v").alias("j"), F.col("label").alias("jl"))
-        new = cut_lineage(spread.join(jump, spread["label"] == jump["j"], "left").select("v", "old", F.least("label", "jl").alias("label")))
-        labels = new.select("v", "label")
-        if new.filter("old <> label").limit(1).count() == 0:
-            break
+    labels = component_labels(p, "class_a", "class_b")
     degree = edges.groupBy(F.col("class_a").alias("class_id")).agg(F.count(F.lit(1)).alias("links"))
     return (
         found.members.join(labels.withColumnRenamed("v", "class_id"), "class_id", "left")
