@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,26 +10,53 @@ from tessellar.functions.text import plain_query
 from tessellar.session import cut_lineage
 
 
-def greedy_keep(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Links settled by one task of a round.
+RANGE_LINKS = 500_000
+
+
+def _settle(g: pd.DataFrame) -> pd.DataFrame:
+    """Links (v, u, su: 1 kept, 0 not, -1 unknown) of a range of rows, in order of v: the rows that can be decided."""
+    done: dict = {}
+    v, u, su = (g.sort_values("v", kind="stable")[c].tolist() for c in ("v", "u", "su"))
+    at = 0
+    while at < len(v):
+        row, hit, unknown = v[at], False, False
+        while at < len(v) and v[at] == row:
+            known = su[at] if su[at] >= 0 else done.get(u[at], -1)
+            hit, unknown = hit or known == 1, unknown or known < 0
+            at += 1
+        if hit or not unknown:
+            done[row] = 0 if hit else 1
+    return pd.DataFrame({"id": pd.Series(list(done), dtype=g["v"].dtype), "kept": pd.Series(list(done.values()), dtype="int32")})
+
+
+def greedy_keep(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """SIM-04, SIM-06, SIM-07: ``nodes`` (id), ``links`` (a, b): going through the ids in order, one is kept unless linked to a
     kept earlier one.  ``id``, ``kept``, ``leader`` (the first kept id it is linked to; itself if kept).
 
-    Done in rounds instead of one by one: whoever has no undecided earlier neighbour is decided at once.  A round settles
-    all rows but those at the end of a chain of links, so rounds follow the longest chain, not the number of rows.
+    Rows are cut into ranges of the id with about ``RANGE_LINKS`` links to earlier rows each.  In a round a task a range goes
+    through its rows in order and decides those whose earlier neighbours are decided, in the range or by earlier rounds.
+    Links lead to later rows only, so round n has decided the first n ranges at the latest: rounds never exceed the number
+    of ranges, however long the chains, and every row is decided.
     """
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct()
     edges = cut_lineage(edges)
-    state = cut_lineage(edges.select(F.col("v").alias("id")).union(edges.select("u")).distinct().withColumn("state", F.lit(None).cast("boolean")))
-    for _ in range(max_rounds):
-        seen = edges.join(state.withColumnsRenamed({"id": "u", "state": "su"}), "u").groupBy("v").agg(F.bool_or(F.coalesce("su", F.lit(False))).alias("hit"), F.bool_or(F.col("su").isNull()).alias("open"))
-        nxt = state.join(seen.withColumnRenamed("v", "id"), "id", "left")
-        decided = F.when(F.col("state").isNotNull(), F.col("state")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = cut_lineage(nxt.select("id", decided.alias("state")))
-        if state.filter("state is null").isEmpty():
-            break
-    leads = edges.join(state.filter("state").select(F.col("id").alias("u")), "u").groupBy("v").agg(F.min("u").alias("leader"))
+    ranges = max(1, -(-edges.count() // RANGE_LINKS))
+    left = cut_lineage(edges.repartitionByRange(ranges, "v").withColumn("part", F.spark_partition_id()))
+    kind = edges.schema["v"].dataType.simpleString()
+    # who has no earlier neighbour is kept
+    state = cut_lineage(edges.select(F.col("u").alias("id")).distinct().join(edges.select(F.col("v").alias("id")), "id", "left_anti").withColumn("kept", F.lit(1)))
+    while not left.isEmpty():
+        known = left.join(state.select(F.col("id").alias("u"), F.col("kept").alias("su")), "u", "left").select("part", "v", "u", F.coalesce("su", F.lit(-1)).alias("su"))
+        new = cut_lineage(known.groupBy("part").applyInPandas(_settle, f"id {kind}, kept int"))
+        if new.isEmpty():
+            raise RuntimeError("greedy_keep: rows are left undecided")
+        left = cut_lineage(left.join(new.select(F.col("id").alias("v")), "v", "left_anti"))
+        state = cut_lineage(state.unionByName(new))
+    leads = edges.join(state.filter("kept = 1").select(F.col("id").alias("u")), "u").groupBy("v").agg(F.min("u").alias("leader"))
     out = nodes.select("id").distinct().join(state, "id", "left").join(leads.withColumnRenamed("v", "id"), "id", "left")
-    kept = F.coalesce("state", F.lit(True))
+    # rows without links have no state
+    kept = F.coalesce(F.col("kept") == 1, F.lit(True))
     return out.select("id", kept.alias("kept"), F.when(kept, F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 

@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 
+from tessellar.operators import similarity as sim
 from tessellar.operators import vectors
 from tessellar.operators.vectors import close_pairs
 from tessellar.plans.catalog_queries import leader_clusters
@@ -30,3 +33,30 @@ def test_close_pairs_over_blocks_of_queries(spark, monkeypatch):
     got = sorted((r["a"], r["b"]) for r in close_pairs(df, 0.9, dim=2).collect())
     assert got == [(f"k{a}", f"k{b}") for a in range(10) for b in range(a + 1, 10) if a % 2 == b % 2]
     assert close_pairs(df.limit(0), 0.9, dim=2).count() == 0
+
+
+def in_order(ids, links):
+    near = {k: set() for k in ids}
+    for a, b in links:
+        near[max(a, b)].add(min(a, b))
+    leader = {}
+    for k in sorted(ids):
+        leader[k] = min((j for j in near[k] if j != k and leader[j] == j), default=k)
+    return {k: (j == k, j) for k, j in leader.items()}
+
+
+def test_greedy_keep_on_a_chain_in_id_order(spark):
+    ids = list(range(1, 301))
+    links = list(zip(ids, ids[1:]))
+    got = sim.greedy_keep(spark.createDataFrame([(k,) for k in ids], "id bigint"), spark.createDataFrame(links, "a bigint, b bigint"))
+    assert {r["id"]: (r["kept"], r["leader"]) for r in got.collect()} == in_order(ids, links)
+
+
+def test_greedy_keep_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sim, "RANGE_LINKS", 150)
+    rng = random.Random(8)
+    ids = [f"k{k:03}" for k in range(200)]
+    links = list(zip(ids, ids[1:])) + [tuple(rng.sample(ids, 2)) for _ in range(300)] + [("k007", "k007")]
+    got = sim.greedy_keep(spark.createDataFrame([(k,) for k in [*ids, "z"]], "id string"), spark.createDataFrame(links, "a string, b string"))
+    assert {r["id"]: (r["kept"], r["leader"]) for r in got.collect()} == in_order([*ids, "z"], links)
+    assert sim.greedy_keep(got.select("id"), spark.createDataFrame([], "a string, b string")).filter("kept").count() == 201
