@@ -6,31 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions.text import slug
+from tessellar.session import cut_lineage
 
 SECTIONS = ["Main Porcelain Commands", "Ancillary Commands / Manipulators", "Ancillary Commands / Interrogators"]
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
-    """ARR-03: ``nodes`` (id, parent_id, name) -> ``id, depth, path, is_leaf``; roots have no parent.  Recursion in SQL."""
-    view = "_tessellar_nodes"
-    nodes.select("id", "parent_id", "name").createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk (id, depth, path) AS (
-          SELECT id, 0, name FROM {view} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.id, w.depth + 1, w.path || '/' || n.name FROM walk w JOIN {view} n ON n.parent_id = w.id WHERE w.depth < {max_depth})
-        SELECT w.id, w.depth, w.path, p.parent_id IS NULL AS is_leaf
-        FROM walk w LEFT JOIN (SELECT DISTINCT parent_id FROM {view}) p ON p.parent_id = w.id""")
-
-
-def without_subtrees(nodes: DataFrame, dropped: DataFrame, max_depth: int = 8) -> DataFrame:
-    """SET-07: nodes that are not among, or below, the ``dropped`` ids."""
-    gone = dropped.select("id").distinct()
-    front = gone
-    for _ in range(max_depth):
-        front = nodes.join(front.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id")
-        gone = gone.unionByName(front)
-    return nodes.join(gone.distinct(), "id", "left_anti")
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """ARR-03: ``nodes`` (id, parent_id, name) -> ``id, depth, path, is_leaf``; roots have no parent.  A level a round, until
+    there is none; a walk deeper than there are nodes is a cycle and raises."""
+    n = cut_lineage(nodes.select("id", "parent_id", "name"))
+    most = n.count()
+    front = n.filter("parent_id is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"))
+    walk, depth = front, 0
+    while True:
+        above = front.select(F.col("id").alias("parent_id"), F.col("path").alias("_above"))
+        front = cut_lineage(n.join(above, "parent_id").select("id", F.lit(depth + 1).alias("depth"), F.concat("_above", F.lit("/"), "name").alias("path")))
+        if front.isEmpty():
+            break
+        depth += 1
+        if depth >= most:
+            raise ValueError("tree_paths: the nodes hold a cycle")
+        walk = walk.unionByName(front)
+    parents = n.select(F.col("parent_id").alias("id")).distinct().withColumn("_p", F.lit(True))
+    return walk.join(parents, "id", "left").select("id", "depth", "path", F.col("_p").isNull().alias("is_leaf"))
+
+
+def without_subtrees(nodes: DataFrame, dropped: DataFrame) -> DataFrame:
+    """SET-07: nodes that are not among, or below, the ``dropped`` ids, at any depth; a cycle is walked once."""
+    links = cut_lineage(nodes.select("id", "parent_id"))
+    gone = front = cut_lineage(dropped.select("id").distinct())
+    while not front.isEmpty():
+        below = links.join(front.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        front = cut_lineage(below.join(gone, "id", "left_anti"))
+        gone = cut_lineage(gone.unionByName(front))
+    return nodes.join(gone, "id", "left_anti")
 
 
 def unique_slugs(rows: DataFrame, key: str, name: str) -> DataFrame:

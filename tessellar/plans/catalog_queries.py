@@ -444,7 +444,7 @@ def collect_leaves(spark, d):
 def prune_subtrees(spark, d):
     """SET-07, JN-10."""
     n = _nodes(spark, d)
-    return tax.without_subtrees(n, n.filter("id in ('r1', 'n3')").select("id"), 3).select("id", "name")
+    return tax.without_subtrees(n, n.filter("id in ('r1', 'n3')").select("id")).select("id", "name")
 
 
 @query(r"""WITH b AS (SELECT id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(taxonomy_leaf), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'node') AS s FROM recipes),
