@@ -71,6 +71,15 @@ class ItemIndex:
     edits: int
 
 
+def item_q(text: str, words: int, edits: int, q: int) -> int:
+    """``q``, halved until ``edits`` edits leave the shortest window of the item a q-gram they don't touch."""
+    blanks = [k for k, c in enumerate(text) if c == " "]
+    shortest = min((blanks[k + words] - blanks[k] + 1 for k in range(len(blanks) - words)), default=None)
+    while shortest is not None and q > 1 and shortest < q * (edits + 1):
+        q //= 2
+    return q
+
+
 def build_index(items: list[tuple], words: int, edits: int, q: int) -> ItemIndex | None:
     """``items``: (id, normal text).  None if no item has ``words`` words."""
     ids, parts, starts, windows, bound, at = [], [], [], [], [], 0
@@ -237,19 +246,23 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     q = q or (16 if edits == 0 else 8)
     rows = items.select(F.col(item_id).alias("i"), normal_text(F.col(item_text)).alias("t")).filter("t <> '' and i is not null")
     ikind, dkind = items.schema[item_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
-    slim = docs.select(F.col(doc_id).alias("_d"), normal_text(F.col(doc_text)).alias("_t")).filter(F.length("_t") > 2 * words)
+    slim = docs.select(F.col(doc_id).alias("_d"), normal_text(F.col(doc_text)).alias("_t")).filter(F.length("_t") > 2 * words - edits)
     schema = f"_d {dkind}, _i {ikind}, shared bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    blocks: list[list[tuple]] = [[]]
-    held = 0
+    # items of short windows need shorter q-grams, and are in blocks of their own
+    blocks: list[tuple[int, list[tuple]]] = []
+    filling: dict[int, tuple[list[tuple], int]] = {}
     for r in rows.toLocalIterator():
-        if held + len(r["t"]) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["i"], r["t"]))
-        held += len(r["t"])
-    for block in blocks:
-        index = build_index(block, words, edits, q)
+        k = item_q(r["t"], words, edits, q)
+        block, held = filling.get(k, ([], 0))
+        if held + len(r["t"]) > BLOCK_CHARS and block:
+            blocks.append((k, block))
+            block, held = [], 0
+        block.append((r["i"], r["t"]))
+        filling[k] = (block, held + len(r["t"]))
+    blocks += [(k, block) for k, (block, _) in filling.items()]
+    for block_q, block in blocks:
+        index = build_index(block, words, edits, block_q)
         if index is None:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(index)
