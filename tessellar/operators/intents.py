@@ -96,6 +96,14 @@ def flag_problem(flags: Column, allowed: Column, denied: Column) -> Column:
     return F.when(F.arrays_overlap(flags, denied), "denied").when(F.size(F.array_except(flags, allowed)) > 0, "not_allowed")
 
 
+def rare_flags(rows: DataFrame, flags: str, least: int) -> DataFrame:
+    """FLT-14: adds ``rare``: whether a row has a flag of fewer than ``least`` rows.  Joins, so the flags may be any number."""
+    each = rows.select(flags, F.explode(flags).alias("_flag"))
+    few = each.groupBy("_flag").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < least)
+    sets = each.join(few, "_flag", "left_semi").select(flags).distinct().withColumn("_rare", F.lit(True))
+    return rows.join(sets, flags, "left").withColumn("rare", F.coalesce("_rare", F.lit(False))).drop("_rare")
+
+
 def split_by_id(rows: DataFrame, id_col: str, train_per_mille: int = 700) -> DataFrame:
     """STM-09: adds ``split`` by the FNV hash of the id, all rows of an id on one side; rows without id are left out.  If all ids
     fall on one side the last of two or more ids changes it."""

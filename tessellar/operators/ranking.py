@@ -28,17 +28,15 @@ def fuse(hits: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     return hits.withColumns({"score_cosine": nv, "score_bm25": nt}).withColumn("score", a * F.coalesce("score_cosine", F.lit(0.0)) + b * F.coalesce("score_bm25", F.lit(0.0)))
 
 
-def named_verbs(query: Column, tokens: Column, known: list[str]) -> Column:
-    """RNK-04: verbs a query names, as ``git x`` or as a known verb among its ``tokens`` (also without its dashes).
-
-    To be computed once per query, not per hit.
-    """
+def named_verbs(words: DataFrame, known: DataFrame) -> DataFrame:
+    """RNK-04: adds ``named`` to ``words`` (query_id, query, tokens): verbs a query names, as ``git x`` or as a verb of ``known``
+    (v) among its tokens (also without its dashes).  A join, so the verbs may be any number."""
     empty = F.array().cast("array<string>")
-    phrases = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"\bgit\s+([a-z0-9][-a-z0-9]*)"), F.lit(1))
-    listed = F.array_intersect(F.array(*map(F.lit, known)), tokens) if known else empty
-    dashed = [v for v in known if "-" in v]
-    bare = F.array_compact(F.array(*[F.when(F.array_contains(tokens, v.replace("-", "")), F.lit(v)) for v in dashed])) if dashed else empty
-    return F.array_distinct(F.concat(phrases, listed, bare))
+    phrases = F.regexp_extract_all(F.lower(F.coalesce("query", F.lit(""))), F.lit(r"\bgit\s+([a-z0-9][-a-z0-9]*)"), F.lit(1))
+    spelled = known.select("v", F.explode(F.array_distinct(F.array("v", F.replace("v", F.lit("-"), F.lit(""))))).alias("_token"))
+    listed = words.select("query_id", "query", F.explode("tokens").alias("_token")).join(spelled, "_token").groupBy("query_id", "query").agg(F.collect_set("v").alias("_listed"))
+    met = words.join(listed, ["query_id", "query"], "left")
+    return met.withColumn("named", F.array_distinct(F.concat(phrases, F.coalesce("_listed", empty)))).drop("_listed")
 
 
 def verb_boost(named: Column, tokens: Column, primary: Column, verbs: Column, cfg: SearchConfig = SearchConfig()) -> Column:

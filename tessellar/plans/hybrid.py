@@ -24,11 +24,7 @@ class Catalog:
     postings: DataFrame
     sizes: DataFrame
     vectors: DataFrame
-    verbs: list[str]
-
-
-#: Verbs kept from a catalog, most frequent first.  Verbs are a vocabulary, not a table.
-MAX_VERBS = 4096
+    verbs: DataFrame
 
 
 def open_catalog(recipes: DataFrame, vectors: DataFrame | None = None) -> Catalog:
@@ -48,8 +44,8 @@ def open_catalog(recipes: DataFrame, vectors: DataFrame | None = None) -> Catalo
     derived = cut_lineage(derived)
     postings, sizes = build_index(recipes, "id", recipe_body())
     vectors = cut_lineage(recipes.select("id", embed(embed_text()).alias("embedding"))) if vectors is None else vectors
-    words = derived.select(F.explode("verbs").alias("v")).groupBy("v").count().orderBy(F.desc("count"), "v").limit(MAX_VERBS)
-    return Catalog(derived, postings, sizes, vectors, sorted(r["v"] for r in words.select("v").collect()))
+    verbs = cut_lineage(derived.select(F.explode("verbs").alias("v")).distinct())
+    return Catalog(derived, postings, sizes, vectors, verbs)
 
 
 def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = SearchConfig(), query_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +59,7 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
     by_text = top(bm25(q, catalog.postings, catalog.sizes, compat=cfg.compat_terms), ["query_id"], [F.asc("bm25"), F.asc("doc_id")], cfg.recall_k).select("query_id", F.col("doc_id").alias("id"), "bm25")
     hits = fuse(collapse_channels(by_vector, by_text), cfg)
     words = q.withColumn("tokens", query_tokens(F.col("query")))
-    words = cut_lineage(words.select("query_id", "tokens", named_verbs(F.col("query"), F.col("tokens"), catalog.verbs).alias("named")))
+    words = cut_lineage(named_verbs(words, catalog.verbs).select("query_id", "tokens", "named"))
     hits = hits.join(catalog.recipes, "id").join(words, "query_id")
     # hits of the text channel alone carry no steps when they are boosted and ordered
     seen = F.col("cosine").isNotNull()

@@ -116,11 +116,10 @@ def coverage_parents(spark, d):
   n AS (SELECT fl AS flag, count(*) AS n FROM (SELECT unnest(fl) AS fl FROM f) GROUP BY 1), a AS (SELECT coalesce(list(flag) FILTER (n >= 5), []) AS ok FROM n)
 SELECT id, CASE WHEN list_has_any(fl, ['--hard', '--force']) THEN 'denied' WHEN NOT list_has_all(ok, fl) THEN 'not_allowed' ELSE 'ok' END AS verdict FROM f, a""")
 def flag_verdicts(spark, d):
-    """FLT-14: flags of fewer than five recipes aren't allowed; the flags in use are a vocabulary."""
+    """FLT-14: flags of fewer than five recipes aren't allowed."""
     r = _t(spark, d, "recipes").select("id", F.array_distinct(F.flatten(F.transform(F.coalesce("commands", F.array().cast(C.STEPS)), lambda s: C.flags(s["command"])))).alias("fl"))
-    ok = [x["flag"] for x in r.select(F.explode("fl").alias("flag")).groupBy("flag").count().filter("count >= 5").orderBy(F.desc("count")).limit(4096).collect()]
-    allowed = F.array(*map(F.lit, ok)) if ok else F.array().cast("array<string>")
-    return r.select("id", F.coalesce(I.flag_problem(F.col("fl"), allowed, F.array(F.lit("--hard"), F.lit("--force"))), F.lit("ok")).alias("verdict"))
+    verdict = F.when(F.arrays_overlap("fl", F.array(F.lit("--hard"), F.lit("--force"))), "denied").when(F.col("rare"), "not_allowed").otherwise("ok")
+    return I.rare_flags(r, "fl", 5).select("id", verdict.alias("verdict"))
 
 
 @query("""WITH f AS (SELECT report_id, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(command_id, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS f FROM golden_report WHERE coalesce(command_id, '') <> '')
