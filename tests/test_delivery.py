@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessellar.operators.delivery import BLOCK, accept, keep_one, merge_ranges, parse_identifier, repeats, uncovered, uuid_hex, uuid_text
+from tessellar.operators.delivery import BLOCK, accept, accept_all, keep_one, merge_blocks, merge_ranges, parse_identifier, repeats, stitch, uncovered, uuid_hex, uuid_text
 
 U = "8f7b5c92-25e7-4f3e-8204-00c69fa0edf1"
 SPELLED = [U, U.upper(), "{" + U + "}", " " + U, "urn:uuid:" + U, U.replace("-", ""), "URN:UUID:" + U.upper()]
@@ -61,3 +61,24 @@ def test_second_batch_against_the_first(spark):
     other = a1.filter("_other is not null").select(F.col("_other").alias("other"))
     d2 = spark.createDataFrame([("p:2", 4), ("p:3", 5), ("weird", 6), ("weird2!", 7), (None, 8)], "id string, o bigint")
     assert sorted(r["o"] for r in accept(d2, "id", ["o"], [], seen, other).collect()) == [5, 7, 8]
+
+
+def test_batches_against_ranges_give_the_same_repeats(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([f"w-{rng.randrange(3)}:{rng.randrange(200)}", "odd!", f"9:{BLOCK - 5 + rng.randrange(10)}"]), rng.randrange(40), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "id string, pulled_at bigint, delivery_id bigint")
+    got = [sorted(map(tuple, repeats(df, "id", ["pulled_at", "delivery_id"], epochs=e).collect()), key=str) for e in (1, 2, 5)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) - len({r[0] for r in rows})
+    taken, seen, other = accept_all(parse_identifier(df, "id"), ["pulled_at", "delivery_id"], epochs=4)
+    assert taken.count() == len({r[0] for r in rows}) and other.count() == 1
+    covered = seen.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0]
+    last = uncovered(taken.filter("_producer is not null"), seen).count()
+    assert seen.count() < covered == taken.count() - 1 - last
+
+
+def test_ranges_of_many_blocks_are_stitched(spark):
+    n = spark.range(3 * BLOCK - 2, 6 * BLOCK + 3).select(F.lit("a").alias("_producer"), F.col("id").alias("_number"))
+    n = n.unionByName(spark.createDataFrame([("a", 7 * BLOCK), ("a", 7 * BLOCK - 1), ("b", BLOCK)], n.schema))
+    state = merge_blocks(n)
+    assert state.count() == 8
+    assert sorted(map(tuple, stitch(state).collect())) == [("a", 3 * BLOCK - 2, 6 * BLOCK + 2), ("a", 7 * BLOCK - 1, 7 * BLOCK), ("b", BLOCK, BLOCK)]
