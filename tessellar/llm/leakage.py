@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of evaluation text broadcast at once.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Characters of documents handled at once by a task; longer documents are cut into overlapping windows.
 CHUNK = 1 << 20
 _BITS = 22
@@ -61,7 +61,7 @@ class ItemIndex:
     ids: np.ndarray
     codes: np.ndarray  # all items, a separator after each
     starts: np.ndarray
-    windows: list  # per item: (start, length) of each window of ``words`` words, blanks around included
+    windows: list  # per item: (start, length) rows, an int32 array, of each window of ``words`` words, blanks around included
     bound: np.ndarray  # per item: least q-grams of a retained band; 0 if the item has no window
     grams: np.ndarray  # sorted hashes
     where: np.ndarray  # positions, by hash
@@ -86,13 +86,13 @@ def build_index(items: list[tuple], words: int, edits: int, q: int) -> ItemIndex
     for key, text in items:
         codes = _codes(text)
         blanks = np.flatnonzero(codes == 32)
-        w = [(int(blanks[k]), int(blanks[k + words] - blanks[k] + 1)) for k in range(len(blanks) - words)]
-        if not w:
+        if len(blanks) <= words:
             continue
+        w = np.stack([blanks[:-words], blanks[words:] - blanks[:-words] + 1], axis=1).astype(np.int32)
         ids.append(key)
         starts.append(at)
         windows.append(w)
-        bound.append(max(1, min(n for _, n in w) + 1 - q * (edits + 1)))
+        bound.append(max(1, int(w[:, 1].min()) + 1 - q * (edits + 1)))
         parts += [codes, np.array([1], dtype=np.uint32)]
         at += len(codes) + 1
     if not ids:
@@ -121,31 +121,10 @@ def _hits(codes: np.ndarray, x: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(p, n), x.where[first + np.arange(n.sum())]
 
 
-def _exact_runs(codes: np.ndarray, p: np.ndarray, g: np.ndarray, x: ItemIndex) -> list[tuple[int, int, int]]:
-    """No edits: a band is one diagonal, and a retained region is a run of neighbouring q-grams on it.
-    (text position, item, words shared)."""
-    diag = p - g
-    order = np.lexsort((p, diag))
-    p, g, diag = p[order], g[order], diag[order]
-    new = np.concatenate([[True], (np.diff(diag) != 0) | (np.diff(p) != 1)])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate([first, [len(p)]]))
-    item = np.searchsorted(x.starts, g[first], "right") - 1
-    keep = count >= x.bound[item]
-    out = []
-    for f, n, i in zip(first[keep], count[keep], item[keep], strict=True):
-        a, b = codes[p[f] : p[f] + n + x.q - 1], x.codes[g[f] : g[f] + n + x.q - 1]
-        shared = int((a == 32).sum()) - 1
-        if shared >= x.words and np.array_equal(a, b):
-            out.append((int(p[f]), int(i), shared))
-    return out
-
-
-def align_windows(item: np.ndarray, windows: list, text: np.ndarray, lo: int, width: int) -> np.ndarray:
+def align_windows(item: np.ndarray, windows: np.ndarray, text: np.ndarray, lo: int, width: int) -> np.ndarray:
     """Least edits of each item window against the text, the path inside diagonals lo .. lo + width - 1 (start and end free).
     All windows advance together, a row of the dynamic program at a time."""
-    start = np.array([s for s, _ in windows])
-    length = np.array([n for _, n in windows])
+    start, length = windows[:, 0], windows[:, 1]
     longest = int(length.max())
     # what lies outside the text matches nothing
     text = np.concatenate([np.full(longest + width, 0xFFFFFFFF, np.uint32), text, np.full(longest + width, 0xFFFFFFFF, np.uint32)])
@@ -166,7 +145,7 @@ def align_windows(item: np.ndarray, windows: list, text: np.ndarray, lo: int, wi
 
 
 def _banded(codes: np.ndarray, docs: np.ndarray, p: np.ndarray, g: np.ndarray, x: ItemIndex) -> list[tuple[int, int, int]]:
-    """With edits: overlapping bands of diagonals; (text position, item, windows found)."""
+    """Overlapping bands of diagonals, each region aligned inside its band; (text position, item, windows found)."""
     e, b = x.edits, max(16, 2 * x.edits)
     diag = p - g
     band = diag // b
@@ -190,7 +169,7 @@ def _banded(codes: np.ndarray, docs: np.ndarray, p: np.ndarray, g: np.ndarray, x
         stop = x.starts[i + 1] - 1 if i + 1 < len(x.starts) else len(x.codes) - 1
         # each window by its own bound: of its q-grams those that were met in the band
         met = np.unique(g[f:z]) - s
-        w = np.array(x.windows[i])
+        w = x.windows[i].astype(np.int64)
         seen = np.searchsorted(met, w[:, 0] + w[:, 1] - x.q, "right") - np.searchsorted(met, w[:, 0])
         w = w[seen >= np.maximum(1, w[:, 1] + 1 - x.q * (e + 1))]
         if not len(w):
@@ -203,7 +182,7 @@ def _banded(codes: np.ndarray, docs: np.ndarray, p: np.ndarray, g: np.ndarray, x
 
 
 def find_in(texts: list[str], x: ItemIndex) -> list[tuple[int, int, int]]:
-    """(text number, item number, most shared words - or windows, with edits) for each text and item that meet."""
+    """(text number, item number, windows found in one place at most) for each text and item that meet."""
     best: dict[tuple[int, int], int] = {}
     longest = int(np.diff(np.concatenate([x.starts, [len(x.codes)]])).max()) + x.edits
 
@@ -213,7 +192,7 @@ def find_in(texts: list[str], x: ItemIndex) -> list[tuple[int, int, int]]:
         p, g = _hits(codes, x)
         if not len(p):
             return
-        found = _banded(codes, docs, p, g, x) if x.edits else _exact_runs(codes, p, g, x)
+        found = _banded(codes, docs, p, g, x)
         for at, i, n in found:
             k = (rows[int(np.searchsorted(docs, at, "right")) - 1], i)
             best[k] = max(best.get(k, 0), n)
@@ -239,8 +218,8 @@ def find_in(texts: list[str], x: ItemIndex) -> list[tuple[int, int, int]]:
 def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, words: int = 12, edits: int = 0, q: int | None = None) -> DataFrame:
     """``doc_id``, ``item_id`` and ``shared``: documents holding a passage of at least ``words`` consecutive words of an item.
 
-    Without edits ``shared`` is the longest such run in words; with edits it counts the item's windows of ``words`` words
-    that occur with at most ``edits`` character edits.  Null and empty texts and items of fewer words match nothing; a
+    ``shared`` counts the item's windows of ``words`` words that occur with at most ``edits`` character edits, in the region
+    of the document that holds most of them; without edits an alignment must cost nothing.  Null and empty texts and items of fewer words match nothing; a
     repeated document row gives its rows again; a repeated item id counts as one item per row.
     """
     q = q or (16 if edits == 0 else 8)
@@ -249,23 +228,27 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     slim = docs.select(F.col(doc_id).alias("_d"), normal_text(F.col(doc_text)).alias("_t")).filter(F.length("_t") > 2 * words - edits)
     schema = f"_d {dkind}, _i {ikind}, shared bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    # items of short windows need shorter q-grams, and are in blocks of their own
-    blocks: list[tuple[int, list[tuple]]] = []
-    filling: dict[int, tuple[list[tuple], int]] = {}
-    for r in rows.toLocalIterator():
-        k = item_q(r["t"], words, edits, q)
-        block, held = filling.get(k, ([], 0))
-        if held + len(r["t"]) > BLOCK_CHARS and block:
-            blocks.append((k, block))
-            block, held = [], 0
-        block.append((r["i"], r["t"]))
-        filling[k] = (block, held + len(r["t"]))
-    blocks += [(k, block) for k, (block, _) in filling.items()]
-    for block_q, block in blocks:
+
+    def blocks() -> Iterator[tuple[int, list[tuple]]]:
+        """Items in blocks, one q-gram length a block (items of short windows need shorter q-grams); the driver holds one
+        unfinished block for each length, of which there are log2(q) + 1, and no block that is done."""
+        filling: dict[int, tuple[list[tuple], int]] = {}
+        for r in rows.toLocalIterator():
+            k = item_q(r["t"], words, edits, q)
+            block, held = filling.get(k, ([], 0))
+            if held + len(r["t"]) > BLOCK_CHARS and block:
+                yield k, block
+                block, held = [], 0
+            block.append((r["i"], r["t"]))
+            filling[k] = (block, held + len(r["t"]))
+        yield from ((k, block) for k, (block, _) in filling.items())
+
+    for block_q, block in blocks():
         index = build_index(block, words, edits, block_q)
         if index is None:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             x = shared.value

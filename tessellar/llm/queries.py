@@ -78,8 +78,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_edited(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of 12 words found with at most three character edits, and how many of the item's windows were."""
-    return leaks(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_items"), "item_id", "text", words=12, edits=3).select("doc_id", "item_id", F.col("shared").alias("windows"))
+    """Documents holding a passage of 12 words of an item with at most three character edits."""
+    return leaks(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_items"), "item_id", "text", words=12, edits=3).select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +115,18 @@ ORACLES = {
 SELECT k.id, k.class_id, g.group_id, (SELECT count(*) FROM l WHERE l.x = k.class_id) AS links FROM k JOIN g ON g.v = k.class_id""",
     "p3_found": _OVER + " SELECT DISTINCT origin, eval_id, recipe_id FROM m",
     "p3_counts": _OVER + " SELECT origin, split, source, count(DISTINCT eval_id) AS records, count(DISTINCT recipe_id) AS recipes, count(*) AS links FROM m GROUP BY ALL",
+    # a window of L characters with at most three edits keeps one of its four quarters: its first eight characters are looked up, then the place is compared
+    "p8_edited": r"""WITH t AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM eval_items),
+  i AS (SELECT item_id, string_split(s, ' ') AS w FROM t WHERE s <> ''),
+  win AS (SELECT item_id, k, ' ' || array_to_string(w[k:k + 11], ' ') || ' ' AS s FROM i, unnest(range(1, len(w) - 10)) AS u(k)),
+  piece AS (SELECT item_id, k, s, length(s) AS n, q * (length(s) // 4) AS off, substr(s, q * (length(s) // 4) + 1, 8) AS g FROM win, unnest(range(0, 4)) AS v(q)),
+  d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS s FROM documents WHERE text IS NOT NULL),
+  gram AS (SELECT doc_id, p, substr(s, p, 8) AS g FROM d, unnest(range(1, length(s) - 6)) AS u(p)),
+  place AS (SELECT DISTINCT doc_id, item_id, k, n, p - off AS pos FROM gram JOIN piece USING (g)),
+  hit AS (SELECT DISTINCT doc_id, item_id, k, p.pos, p.n, w.s AS want, d.s AS txt FROM place p JOIN win w USING (item_id, k) JOIN d USING (doc_id)),
+  done AS (SELECT DISTINCT doc_id, item_id FROM hit, unnest(range(-3, 4)) AS a(x), unnest(range(-3, 4)) AS b(y)
+           WHERE pos + x >= 1 AND n + y > 0 AND abs(x) + abs(y) <= 6 AND levenshtein(substr(txt, pos + x, n + y), want) <= 3)
+SELECT doc_id, item_id FROM done""",
     "p8_found": r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
   d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
   si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS s FROM i, unnest(range(1, len(w) - 10)) AS u(k)),
