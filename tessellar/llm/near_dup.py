@@ -1,27 +1,42 @@
 """Near-duplicate records: all pairs of word sets with a likeness of at least t, without comparing all pairs.
 
-Every record keeps a *bottom-k sketch*: the k smallest values of its words under one hash function, whose leading bits
-are the word's (sketched) frequency, so that rare words come first.  k follows from the record's size and from the size
-of the partner (in bands of a tenth): two sets with likeness >= t then share a retained value for certain, so no pair is
-lost to sampling.  Inverted lists of the retained values, kept apart by the bands of both sizes, generate overlaps; the union of two sketches bounds the likeness from above and drops most pairs;
-exact word sets verify the rest.  Equal word sets are one *class* before all this, so a third of all rows being copies
-of one record costs one list entry.
+Every record has one *bottom-k sketch*: the ``k`` smallest values of its words under one hash function (64 bits, the same
+for all).  Below the smaller of two sketches' largest values both are complete, so their union there is a uniform sample,
+without replacement, of the union of the two sets: u values, s of them in both, and s / u estimates the likeness.
+
+1. *Lists*: two sketches that share c values share one among the rarest |sketch| - c + 1 of either, so the inverted lists
+   hold only those of the retained values, and common words make no long ones.  A record is listed for the case that it
+   is the smaller of a pair, and looked up for the case that it is the larger, each with the least c of that case.  By
+   Serfling's bound a pair of likeness >= t has s >= (t - e) u but for a chance of ``delta``, with
+   e = sqrt((1 - (u - 1) / N) ln(1 / delta) / 2u) and N the size of the union; what the sketches leave out bounds s too.
+   A list above ``list_rows`` records is salted over several tasks.
+2. *Estimate*: pairs met in a list are kept if s >= (t - e) u.  Sets of at most k words are sketched whole; between two
+   such sets e is 0 and nothing can be lost.
+3. *Exact*: the likeness of the word sets themselves decides.
+
+Equal word sets are one *class* before all this, so a third of all rows being copies of one record costs one list entry.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.words import cell_counts, needed, rarity_keys, set_digest
+from tessellar.llm.words import SKETCH_CELLS, cell_counts, rarity_levels, set_digest
 from tessellar.session import cut_lineage
 
-
-#: Width of a band of set sizes, as a logarithm.
-_BAND = math.log(1.1)
+#: Values retained of each record: sets of up to K words are sketched whole, as are all recipes of the test tables (90 words at most).
+K = 128
+#: Chance that the estimate drops a pair of likeness t; sets of at most K words drop none.
+DELTA = 1e-9
+#: Records of an inverted list that one task pairs with the others.
+LIST_ROWS = 2000
 
 
 @dataclass
@@ -30,7 +45,30 @@ class Similar:
     pairs: DataFrame  #: class_a < class_b, likeness - linked classes
 
 
-def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: float = 0.8) -> Similar:
+def least_shared(u: Column, union: Column, t: float, delta: float = DELTA) -> Column:
+    """Least of ``u`` values of the union sketch that must be shared, for sets whose union has at most ``union`` words."""
+    left = F.greatest(F.lit(0.0), 1 - (u - 1) / union)
+    e = F.when(u >= F.floor(union), F.lit(0.0)).otherwise(F.sqrt(left * F.lit(math.log(1 / delta)) / (2 * u)))
+    return F.greatest(F.lit(1.0), F.ceil((F.lit(t) - e) * u - F.lit(1e-9))).cast("int")
+
+
+def rarest_first(df: DataFrame, sketch: str, counts: np.ndarray, out: str) -> DataFrame:
+    """Adds the values of a sketch ordered by the (counted) frequency of their cell, then by value."""
+    shared = df.sparkSession.sparkContext.broadcast(rarity_levels(counts))
+
+    @F.pandas_udf("array<bigint>")
+    def order(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        level = shared.value
+        for s in batches:
+            size = s.map(len).to_numpy(dtype=np.int64)
+            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in s]) if len(s) else np.zeros(0, np.int64)
+            flat = flat[np.lexsort((flat, level[flat & (SKETCH_CELLS - 1)], np.repeat(np.arange(len(s)), size)))]
+            yield pd.Series(np.split(flat, np.cumsum(size)[:-1]) if len(s) else [], dtype=object)
+
+    return df.withColumn(out, order(F.col(sketch)))
+
+
+def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: float = 0.8, k: int = K, delta: float = DELTA, list_rows: int = LIST_ROWS) -> Similar:
     """Classes of equal word sets and the linked pairs of classes.
 
     Records without words are in no class.  A class is named by its smallest id.  Ids may repeat (copies of a row fall
@@ -38,46 +76,43 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     """
     t = threshold
     base = records.select(F.col(id_col).alias("id"), F.array_distinct(words_col).alias("words")).filter("id is not null and size(words) > 0")
-    base = base.withColumn("digest", set_digest(F.col("words")))
+    base = cut_lineage(base.withColumn("digest", set_digest(F.col("words"))))
     # first() of the words: all members of a digest have the same set
-    classes = cut_lineage(base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("words").alias("words")).withColumn("n", F.size("words")))
+    classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("words").alias("words")).withColumn("n", F.size("words"))
+    classes = cut_lineage(classes.withColumn("sketch", F.slice(F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))), 1, k)))
     members = base.select("id", "digest").join(classes.select("digest", "class_id"), "digest").select("id", "class_id").distinct()
 
     counts = cell_counts(classes, "words")
-    # A sketch for each band of partner sizes: the larger the partner, the more must be shared, the fewer values are kept.
-    n = F.col("n")
-    band = lambda c: F.floor(F.log(c) / F.lit(_BAND) + F.lit(1e-9)).cast("int")
-    fewest = F.greatest(F.ceil(F.lit(t) * n - F.lit(1e-9)), F.floor(F.exp(F.col("partner") * F.lit(_BAND)) + F.lit(1e-6)))
-    sketches = (
-        rarity_keys(classes.select("class_id", "n", "words"), "words", counts, "_keys")
-        .withColumn("band", band(n))
-        .withColumn("partner", F.explode(F.sequence(band(F.ceil(F.lit(t) * n - F.lit(1e-9))), band(F.floor(n / F.lit(t) + F.lit(1e-9))))))
-        .withColumn("k", (n - needed(n, fewest, t) + 1).cast("int"))
-        .filter("k > 0")
-        .select("class_id", "n", "k", "band", "partner", F.slice("_keys", F.lit(1), F.col("k")).alias("sketch"))
-    )
-    lists = sketches.select("class_id", "n", "k", "band", "partner", F.element_at("sketch", -1).alias("top"), F.posexplode("sketch").alias("pos", "value"))
-    a = lists.filter("band <= partner").alias("a")
-    b = lists.filter("band >= partner").alias("b")
-    same = (F.col("a.value") == F.col("b.value")) & (F.col("a.band") == F.col("b.partner")) & (F.col("a.partner") == F.col("b.band"))
-    once = (F.col("a.band") < F.col("b.band")) | (F.struct(F.col("a.n"), F.col("a.class_id")) < F.struct(F.col("b.n"), F.col("b.class_id")))
-    met = a.join(b, same & once & (F.col("a.n") >= F.ceil(F.lit(t) * F.col("b.n") - F.lit(1e-9))))
-    hits = met.groupBy(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).agg(
-        F.count(F.lit(1)).alias("shared"),
-        F.min("a.pos").alias("fa"),
-        F.min("b.pos").alias("fb"),
-        F.max("a.pos").alias("pa"),
-        F.max("b.pos").alias("pb"),
-        *[F.max(f"{s}.{c}").alias(f"{c}{s}") for s in "ab" for c in ("n", "k", "top")],
+    up = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
+    n, size = F.col("n"), F.size("sketch")
+    ordered = cut_lineage(rarest_first(classes.select("class_id", "n", "sketch"), "sketch", counts, "kept").select("class_id", "n", "kept"))
+    # least of the values shared with any larger (listed) or smaller (looked up) partner; ``part``: a partner above k words
+    in_part = F.greatest(least_shared(F.lit(k), n / F.lit(t), t, delta), up(n + k - n / F.lit(t)))
+    listed = F.array(
+        F.when(n <= k, F.struct(F.lit(False).alias("part"), up(F.lit(2 * t / (1 + t)) * n).alias("least"))),
+        F.when(n > F.lit(t * k), F.struct(F.lit(True).alias("part"), F.least(in_part, F.least(n, F.lit(k))).alias("least"))),
     )
-    # Union sketch: below the smaller of the two largest retained values both sketches are complete, so what is shared
-    # there is known; the rest of either set bounds what else can be shared.
-    rest = F.when(F.col("topa") <= F.col("topb"), F.least(F.col("na") - F.col("ka"), F.col("nb") - 1 - F.col("pb"))).otherwise(
-        F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - F.col("kb"))
-    )
-    o = needed(F.col("na"), F.col("nb"), t)
-    early = (F.col("fa") <= F.col("na") - o) & (F.col("fb") <= F.col("nb") - o)
-    kept = hits.filter(early & (F.col("shared") + F.greatest(rest, F.lit(0)) >= o)).select("x", "y")
+    asked_part = F.greatest(least_shared(F.lit(k), n * F.lit(2 / (1 + t)), t, delta), up(k - n * F.lit(1 - t)))
+    asked = F.when(n <= k, up(F.lit(t) * n)).otherwise(asked_part)
+    rows = lambda least: F.explode(F.slice("kept", F.lit(1), F.greatest(F.lit(0), F.size("kept") - least + 1)))
+    lists = ordered.select("class_id", "n", "kept", F.explode(F.array_compact(listed)).alias("l")).select(F.col("class_id").alias("x"), F.col("n").alias("nx"), "l.part", rows(F.col("l.least")).alias("value"))
+    looks = ordered.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), (n > k).alias("part"), rows(asked).alias("value"))
+    long = lists.groupBy("value", "part").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > list_rows).select("value", "part", F.ceil(F.col("c") / F.lit(list_rows)).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    lists = lists.join(long, ["value", "part"], "left").withColumn("salt", F.pmod(F.xxhash64("x"), salts).cast("int")).drop("salts")
+    looks = looks.join(long, ["value", "part"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    once = (F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("nx") >= F.ceil(F.lit(t) * F.col("ny") - F.lit(1e-9)))
+    met = lists.join(looks, ["value", "part", "salt"]).filter(once).select("x", "y", "nx", "ny").distinct()
+
+    sk = classes.select("class_id", "sketch")
+    both = met.join(sk.select(F.col("class_id").alias("x"), F.col("sketch").alias("sx")), "x").join(sk.select(F.col("class_id").alias("y"), F.col("sketch").alias("sy")), "y")
+    # the union sketch ends where the first of the two sketches ends
+    end = F.least(F.when(F.col("nx") > k, F.element_at("sx", -1)), F.when(F.col("ny") > k, F.element_at("sy", -1)))
+    below = lambda c: F.when(F.col("end").isNull(), F.size(c)).otherwise(F.size(F.filter(c, lambda v: v <= F.col("end"))))
+    both = both.withColumn("end", end).withColumn("s", F.size(F.array_intersect("sx", "sy"))).withColumn("u", below("sx") + below("sy") - F.col("s"))
+    union = F.when(F.col("end").isNull(), F.col("u")).otherwise((F.col("nx") + F.col("ny")) / F.lit(1 + t))
+    kept = both.filter(F.col("s") >= least_shared(F.col("u"), union, t, delta)).select("x", "y")
+
     w = classes.select("class_id", "words", "n")
     exact = (
         kept.join(w.select(F.col("class_id").alias("x"), F.col("words").alias("wx"), F.col("n").alias("nx")), "x")

@@ -46,21 +46,28 @@ def cell_counts(sets: DataFrame, col: str) -> np.ndarray:
     return out
 
 
+def rarity_levels(counts: np.ndarray) -> np.ndarray:
+    """Frequency level (15 bits, logarithmic) of each cell."""
+    return np.minimum(np.log2(np.maximum(counts, 1)) * 700, (1 << 15) - 1).astype(np.int64)
+
+
 def rarity_keys(df: DataFrame, col: str, counts: np.ndarray, out: str) -> DataFrame:
     """Adds the set's words as ascending 64-bit keys: 15 bits of (log) frequency, then 48 bits of one hash function.
 
-    Any function of the word gives a valid global order for prefix filters, so two words that share a frequency cell
-    cost selectivity and never a result.
+    Any function of the word gives a valid global order of symbols, so two words that share a frequency cell cost
+    selectivity and never a result.
     """
-    spark = df.sparkSession
-    level = np.minimum(np.log2(np.maximum(counts, 1)) * 700, (1 << 15) - 1).astype(np.int64) << 48
-    shared = spark.sparkContext.broadcast(level)
+    shared = df.sparkSession.sparkContext.broadcast(rarity_levels(counts) << 48)
 
     @F.pandas_udf("array<bigint>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         level = shared.value
         for s in batches:
-            yield pd.Series([np.sort(level[h & (SKETCH_CELLS - 1)] | ((h >> 15) & ((1 << 48) - 1))) for h in (np.asarray(x, dtype=np.int64) for x in s)], dtype=object)
+            size = s.map(len).to_numpy(dtype=np.int64)
+            h = np.concatenate([np.asarray(x, dtype=np.int64) for x in s]) if len(s) else np.zeros(0, np.int64)
+            key = level[h & (SKETCH_CELLS - 1)] | ((h >> 15) & ((1 << 48) - 1))
+            key = key[np.lexsort((key, np.repeat(np.arange(len(s)), size)))]
+            yield pd.Series(np.split(key, np.cumsum(size)[:-1]) if len(s) else [], dtype=object)
 
     return df.withColumn(out, keys(F.transform(F.col(col), lambda w: F.xxhash64(w))))
 
