@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.words import SKETCH_CELLS, cell_counts, rarity_levels, set_digest
+from tessellar.llm.words import SKETCH_CELLS, cell_counts, rarity_levels, salted, set_digest, word_hashes
 from tessellar.session import cut_lineage
 
 #: Values retained of each record: sets of up to K words are sketched whole, as are all recipes of the test tables (90 words at most).
@@ -79,10 +79,10 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     base = cut_lineage(base.withColumn("digest", set_digest(F.col("words"))))
     # first() of the words: all members of a digest have the same set
     classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("words").alias("words")).withColumn("n", F.size("words"))
-    classes = cut_lineage(classes.withColumn("sketch", F.slice(F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))), 1, k)))
+    classes = cut_lineage(classes.withColumn("sketch", F.slice(F.sort_array(F.array_distinct(word_hashes(F.col("words")))), 1, k)))
     members = base.select("id", "digest").join(classes.select("digest", "class_id"), "digest").select("id", "class_id").distinct()
 
-    counts = cell_counts(classes, "words")
+    counts = cell_counts(classes, word_hashes(F.col("words")))
     up = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
     n, size = F.col("n"), F.size("sketch")
     ordered = cut_lineage(rarest_first(classes.select("class_id", "n", "sketch"), "sketch", counts, "kept").select("class_id", "n", "kept"))
@@ -97,10 +97,7 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     rows = lambda least: F.explode(F.slice("kept", F.lit(1), F.greatest(F.lit(0), F.size("kept") - least + 1)))
     lists = ordered.select("class_id", "n", "kept", F.explode(F.array_compact(listed)).alias("l")).select(F.col("class_id").alias("x"), F.col("n").alias("nx"), "l.part", rows(F.col("l.least")).alias("value"))
     looks = ordered.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), (n > k).alias("part"), rows(asked).alias("value"))
-    long = lists.groupBy("value", "part").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > list_rows).select("value", "part", F.ceil(F.col("c") / F.lit(list_rows)).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    lists = lists.join(long, ["value", "part"], "left").withColumn("salt", F.pmod(F.xxhash64("x"), salts).cast("int")).drop("salts")
-    looks = looks.join(long, ["value", "part"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    lists, looks = salted(lists, looks, ["value", "part"], "x", list_rows)
     once = (F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("nx") >= F.ceil(F.lit(t) * F.col("ny") - F.lit(1e-9)))
     met = lists.join(looks, ["value", "part", "salt"]).filter(once).select("x", "y", "nx", "ny").distinct()
 

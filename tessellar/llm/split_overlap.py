@@ -1,11 +1,15 @@
-"""Evaluation records that occur, exactly or almost, in the training split.
-
-A text is a string over the alphabet of words: its distinct words in the global rarity order.  A likeness of at least t
-between sets of n and m words means at least o = ceil(t/(1+t)(n+m)) common words, that is, an edit distance of at most
-k = n + m - 2o insertions and deletions, of which at most n - o delete an evaluation word.  The evaluation string is cut
-into n - o + 1 segments for each training length m (after each of its first n - o words), so one segment's head stands
-unedited in the training string, at one of the positions the budget allows.  Candidates met that way are verified by a
-banded dynamic program.  Order of words, case and punctuation don't count; equal texts are one string on either side.
+"""Evaluation records that occur, exactly or almost, in the training split: an edit-distance segment join.
+
+A text is a string over the alphabet of words.  Likeness doesn't look at the order of words, so the string holds each
+word once, in one global order, rarest first.  A likeness of at least t between strings of n and m words means at least
+o = ceil(t/(1+t)(n+m)) common words, that is, an edit distance of at most k = n + m - 2o insertions and deletions.  The
+evaluation string is cut into segments of ``span`` words (fewer where n words don't make k + 1 such segments), rarest
+words first; k edits leave one of k + 1 segments untouched, so it is a substring of the training string, at a position at
+most as far off as the edits allow.  Where segments are of one word, insertions can't touch them, and n - o + 1 are
+enough, all among the rarest words; so one word is the default, and longer segments pay only where texts are long and t
+is high.  A pair met in a segment is a candidate if 64-bit signatures of the two word sets differ in at most k bits; the
+banded dynamic program over the two strings verifies it, and the likeness is computed last.  Equal texts are one string
+on either side.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.words import cell_counts, needed, rarity_keys, set_digest
+from tessellar.llm.words import cell_counts, needed, rarity_keys, salted, set_digest, word_hashes
 from tessellar.session import cut_lineage
 
+#: Training strings with one segment and length that one task handles; more are salted.
+LIST_ROWS = 4000
+
 
 def _padded(seqs: pd.Series, width: int, fill: int) -> np.ndarray:
     out = np.full((len(seqs), width), fill, dtype=np.int64)
@@ -67,33 +74,53 @@ def banded_edits(a: list | pd.Series, b: list | pd.Series, band: int) -> np.ndar
     return result
 
 
-def near_matches(evals: DataFrame, trains: DataFrame, threshold: float = 0.8) -> DataFrame:
+def segment_words(n: Column, t: float, span: int) -> Column:
+    """Words per segment of an evaluation string of n words: at most ``span``, and what the largest edit budget leaves."""
+    most = F.floor(n / F.lit(t) + F.lit(1e-9)) - n
+    return F.least(F.lit(span), F.greatest(F.lit(1), F.floor(n / (most + 1)))).cast("int")
+
+
+def near_matches(evals: DataFrame, trains: DataFrame, threshold: float = 0.8, span: int = 1, list_rows: int = LIST_ROWS) -> DataFrame:
     """``evals`` (eval_key, words) against ``trains`` (train_key, words): ``eval_key, train_key, edits, likeness``.
 
     Keys may be any type and may repeat; texts without words match nothing.
     """
     t = threshold
-    left = evals.select("eval_key", F.array_distinct("words").alias("words")).filter("size(words) > 0").withColumn("digest", set_digest(F.col("words")))
-    right = trains.select("train_key", F.array_distinct("words").alias("words")).filter("size(words) > 0").withColumn("digest", set_digest(F.col("words")))
-    strings = (
-        left.select("digest", "words", F.lit(1).alias("e"), F.lit(0).alias("t"))
-        .unionByName(right.select("digest", "words", F.lit(0).alias("e"), F.lit(1).alias("t")))
-        .groupBy("digest")
-        .agg(F.first("words").alias("words"), F.max("e").alias("e"), F.max("t").alias("t"))
-    )
-    strings = cut_lineage(strings)
-    counts = cell_counts(strings, "words")
-    strings = cut_lineage(rarity_keys(strings, "words", counts, "seq").select("digest", "seq", F.size("seq").alias("n"), "e", "t"))
-    least_o = lambda n: F.ceil(F.lit(t) * n - F.lit(1e-9)).cast("int")
-    # evaluation side: for each training length m the heads of the n - o + 1 segments
-    lengths = F.sequence(least_o(F.col("n")), F.floor(F.col("n") / F.lit(t) + F.lit(1e-9)).cast("int"))
-    ev = strings.filter("e = 1").select(F.col("digest").alias("ed"), "n", "seq", F.explode(lengths).alias("m"))
-    ev = ev.withColumn("o", needed(F.col("n"), F.col("m"), t).cast("int")).filter("o <= least(n, m)")
-    ev = ev.select("ed", "n", "m", "o", F.posexplode(F.slice("seq", F.lit(1), F.col("n") - F.col("o") + 1)).alias("i", "head"))
-    tr = strings.filter("t = 1").select(F.col("digest").alias("td"), F.col("n").alias("m"), F.posexplode(F.slice("seq", F.lit(1), F.col("n") - least_o(F.col("n")) + 1)).alias("j", "head"))
-    allowed = (F.col("j") <= F.col("m") - F.col("o")) & (1 + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= F.col("o"))
-    cand = ev.join(tr, ["head", "m"]).filter(allowed).select("ed", "td", "n", "m", "o").distinct()
-    cand = cand.join(strings.select(F.col("digest").alias("ed"), F.col("seq").alias("a")), "ed").join(strings.select(F.col("digest").alias("td"), F.col("seq").alias("b")), "td")
+    side = lambda df, key, e: df.select(F.col(key), F.array_distinct("words").alias("_w"), F.lit(e).alias("e")).filter("size(_w) > 0")
+    texts = side(evals, "eval_key", True).unionByName(side(trains, "train_key", False), allowMissingColumns=True)
+    texts = cut_lineage(texts.select("eval_key", "train_key", "e", set_digest(F.col("_w")).alias("digest"), word_hashes(F.col("_w")).alias("h")))
+    counts = cell_counts(texts, F.col("h"))
+    strings = texts.groupBy("digest").agg(F.first("h").alias("h"), F.max("e").alias("e"), F.max(~F.col("e")).alias("t"))
+    strings = rarity_keys(strings, F.col("h"), counts, "seq").withColumn("sid", F.monotonically_increasing_id())
+    bits = F.aggregate("h", F.lit(0).cast("bigint"), lambda x, v: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v, F.lit(64)).cast("int"))))
+    strings = cut_lineage(strings.select("sid", "digest", "seq", F.size("seq").alias("n"), bits.alias("sig"), "e", "t"))
+    n, m, i, j = (F.col(c) for c in ("n", "m", "i", "j"))
+    least = lambda c: F.ceil(F.lit(t) * c - F.lit(1e-9)).cast("int")
+    most = lambda c: F.floor(c / F.lit(t) + F.lit(1e-9)).cast("int")
+    head = lambda at, size: F.xxhash64(F.slice("seq", at + 1, size), size)
+    o = needed(n, m, t).cast("int")
+
+    # training substrings; of one word only those that insertions alone can precede
+    tr = strings.filter("t").select(F.col("sid").alias("td"), n.alias("m"), F.col("sig").alias("sig_t"), "seq")
+    sizes = F.array_distinct(F.transform(F.sequence(least(m), most(m)), lambda x: segment_words(x, t, span)))
+    last = lambda s: F.when(s == 1, m - least(m)).otherwise(m - s)
+    subs = F.flatten(F.transform(F.filter(sizes, lambda s: s <= m), lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda x: F.struct(x.alias("j"), head(x, s).alias("head")))))
+    subs_of = tr.select("td", "m", "sig_t", F.explode(subs).alias("x")).select("td", "m", "sig_t", "x.j", "x.head")
+
+    # evaluation segments: as many as the partner length with the largest budget needs
+    ev = strings.filter("e").select(F.col("sid").alias("ed"), "n", F.col("sig").alias("sig_e"), "seq").withColumn("size", segment_words(n, t, span))
+    cuts = lambda m, o: F.when(F.col("size") == 1, n - o + 1).otherwise(n + m - 2 * o + 1)
+    all_cuts = F.array_max(F.transform(F.sequence(least(n), most(n)), lambda x: cuts(x, needed(n, x, t).cast("int"))))
+    starts = F.filter(F.transform(F.sequence(F.lit(0), all_cuts - 1), lambda g: g * F.col("size")), lambda x: x + F.col("size") <= n)
+    segments = ev.withColumn("i", F.explode(starts)).select("ed", "n", "sig_e", "size", "i", head(i, F.col("size")).alias("head"))
+
+    subs_of, segments = salted(subs_of, segments, ["head"], "td", list_rows)
+    budget = n + m - 2 * o
+    sized = (m >= least(n)) & (m <= most(n)) & (o <= F.least(n, m)) & (i < cuts(m, o) * F.col("size"))
+    near = F.abs(j - i) + F.abs((m - j) - (n - i)) <= budget
+    alike = F.bit_count(F.col("sig_e").bitwiseXOR(F.col("sig_t"))) <= budget
+    cand = segments.join(subs_of, ["head", "salt"]).filter(sized & near & alike).select("ed", "td", "n", "m", o.alias("o")).distinct()
+    cand = cand.join(strings.select(F.col("sid").alias("ed"), F.col("seq").alias("a")), "ed").join(strings.select(F.col("sid").alias("td"), F.col("seq").alias("b")), "td")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -105,9 +132,10 @@ def near_matches(evals: DataFrame, trains: DataFrame, threshold: float = 0.8) ->
                 keep = like >= t
                 yield pd.DataFrame({"ed": g["ed"][keep], "td": g["td"][keep], "edits": d[keep], "likeness": like[keep]})
 
-    met = cand.mapInPandas(verify, "ed binary, td binary, edits bigint, likeness double")
+    met = cand.mapInPandas(verify, "ed bigint, td bigint, edits bigint, likeness double")
+    keyed = texts.join(strings.select("digest", "sid"), "digest")
     return (
-        met.join(left.select("eval_key", F.col("digest").alias("ed")), "ed")
-        .join(right.select("train_key", F.col("digest").alias("td")), "td")
+        met.join(keyed.filter("e").select("eval_key", F.col("sid").alias("ed")), "ed")
+        .join(keyed.filter("not e").select("train_key", F.col("sid").alias("td")), "td")
         .select("eval_key", "train_key", "edits", "likeness")
     )

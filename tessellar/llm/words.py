@@ -32,14 +32,19 @@ def text_digest(value: Column) -> Column:
 
 
 def set_digest(word_set: Column) -> Column:
-    """Key of a set of words (words hold no blanks)."""
-    return text_digest(F.array_join(F.array_sort(word_set), " "))
+    """128-bit key of a set of words (words hold no blanks)."""
+    return F.unhex(F.md5(F.array_join(F.sort_array(word_set), " ")))
 
 
-def cell_counts(sets: DataFrame, col: str) -> np.ndarray:
-    """For each hash cell the number of sets holding a word of it.  Counts cover all rows; a third of all rows sharing a
+def word_hashes(word_set: Column) -> Column:
+    """The 64-bit values of the words under the one hash function of all sketches and strings."""
+    return F.transform(word_set, lambda w: F.xxhash64(w))
+
+
+def cell_counts(sets: DataFrame, hashes: Column) -> np.ndarray:
+    """For each hash cell the number of sets holding a word of it (``hashes``: word_hashes of a set).  Counts cover all rows; a third of all rows sharing a
     word cost one partial count per task."""
-    cell = sets.select(F.explode(col).alias("_w")).select(F.xxhash64("_w").bitwiseAND(F.lit(SKETCH_CELLS - 1)).cast("int").alias("cell"))
+    cell = sets.select(F.explode(hashes).alias("_w")).select(F.col("_w").bitwiseAND(F.lit(SKETCH_CELLS - 1)).cast("int").alias("cell"))
     table = cell.groupBy("cell").count().toPandas()
     out = np.zeros(SKETCH_CELLS, dtype=np.int64)
     out[table["cell"].to_numpy()] = table["count"].to_numpy()
@@ -51,7 +56,7 @@ def rarity_levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)) * 700, (1 << 15) - 1).astype(np.int64)
 
 
-def rarity_keys(df: DataFrame, col: str, counts: np.ndarray, out: str) -> DataFrame:
+def rarity_keys(df: DataFrame, hashes: Column, counts: np.ndarray, out: str) -> DataFrame:
     """Adds the set's words as ascending 64-bit keys: 15 bits of (log) frequency, then 48 bits of one hash function.
 
     Any function of the word gives a valid global order of symbols, so two words that share a frequency cell cost
@@ -69,9 +74,23 @@ def rarity_keys(df: DataFrame, col: str, counts: np.ndarray, out: str) -> DataFr
             key = key[np.lexsort((key, np.repeat(np.arange(len(s)), size)))]
             yield pd.Series(np.split(key, np.cumsum(size)[:-1]) if len(s) else [], dtype=object)
 
-    return df.withColumn(out, keys(F.transform(F.col(col), lambda w: F.xxhash64(w))))
+    return df.withColumn(out, keys(hashes))
 
 
 def needed(n: Column, m: Column, t: float) -> Column:
     """Least overlap of sets of n and m words with likeness t; the slack absorbs the rounding of t."""
     return F.ceil(F.lit(t / (1 + t)) * (n + m) - F.lit(1e-9))
+
+
+def salted(lists: DataFrame, looks: DataFrame, keys: list[str], owner: str, list_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys``, to be joined on ``keys`` and ``salt``.
+
+    Lists that hold more than about ``list_rows`` rows, by a count over a sixteenth of their owners, are spread over
+    salts, and what is looked up in them goes to each.  The count only decides how the work is spread, not what is found.
+    """
+    some = lists.filter(F.pmod(F.xxhash64(owner), F.lit(16)) == 0).groupBy(*keys).agg(F.count(F.lit(16)).alias("_c"))
+    long = some.filter(F.col("_c") * 16 > list_rows).select(*keys, F.ceil(F.col("_c") * 16 / F.lit(list_rows)).cast("int").alias("_salts"))
+    n = F.coalesce("_salts", F.lit(1))
+    a = lists.join(long, keys, "left").withColumn("salt", F.pmod(F.xxhash64(owner, F.lit(1)), n).cast("int")).drop("_salts")
+    b = looks.join(long, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
+    return a, b

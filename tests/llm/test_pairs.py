@@ -85,12 +85,12 @@ def test_banded_edits():
             assert g == w if w <= band else g > band
 
 
-@pytest.mark.parametrize("seed,t", [(11, 0.7), (12, 0.8), (13, 0.6)])
-def test_split_overlap_matches_brute_force(spark, seed, t):
+@pytest.mark.parametrize("seed,t,span,rows_a_list", [(11, 0.7, 1, 4000), (12, 0.8, 1, 2), (13, 0.6, 1, 4000), (14, 0.8, 4, 4000), (15, 0.7, 2, 1), (16, 0.4, 3, 4000)])
+def test_split_overlap_matches_brute_force(spark, seed, t, span, rows_a_list):
     rows = texts(seed, 140, 3, 9)
     ev, tr = rows[:70] + [("x", None), ("y", "..."), ("z", rows[0][1])], [(i, x.upper() + "!") for i, x in rows[70:]] + [("r0", rows[1][1]), ("r0", rows[2][1]), ("n", None)]
     d = lambda r, k: spark.createDataFrame(r, f"{k} string, t string").select(k, words(F.col("t")).alias("words"), F.lit(1).alias("e"), F.lit(2).alias("seq"))
-    got = {(r["eval_key"], r["train_key"]) for r in near_matches(d(ev, "eval_key"), d(tr, "train_key"), t).collect()}
+    got = {(r["eval_key"], r["train_key"]) for r in near_matches(d(ev, "eval_key"), d(tr, "train_key"), t, span, rows_a_list).collect()}
     s = lambda x: set((x or "").lower().replace("!", "").replace(".", "").split())
     assert got == {(a, b) for a, x in ev for b, y in tr if s(x) and s(y) and likeness(s(x), s(y)) >= t}
     assert near_matches(d(ev, "eval_key").limit(0), d(tr, "train_key"), t).count() == 0 and near_matches(d(ev, "eval_key"), d(tr, "train_key").limit(0), t).count() == 0
