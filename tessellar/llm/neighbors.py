@@ -6,8 +6,8 @@
    whose centroids are nearly as similar, by a margin that gives ``probes`` lists a vector on average.  Vectors travel packed by (batch, list): as 16-bit decimals where that loses nothing, else
    as 32-bit floats.  Copies of a vector travel once per batch.
 3. *Search*, a task per list: members are coded by the codebooks of their residuals; a query's inner products with all
-   codewords (its asymmetric distance table) rank the members, and the best ``rerank`` are ranked again by the exact
-   cosine in 64 bits.
+   codewords (its asymmetric distance table) rank the members, and only the best ``rerank`` are compared with it: by
+   32-bit cosines, and the best ``EXACT`` of those by the exact cosine in 64 bits.
 4. *Merge* the lists' answers per query.
 
 A list that holds many vectors in the sample is split by salt: its members are spread over several tasks and its queries
@@ -35,8 +35,15 @@ MAX_SAMPLE = 65_536
 #: Members of a list that one task handles, as far as the sample tells.
 LIST_ROWS = 4_000
 CODEWORDS = 256
-#: Most lists searched for one vector.
+#: Most lists searched for one vector; ``probes`` is their mean.
 MAX_PROBES = 8
+#: Shortlisted members whose cosine is computed in 64 bits.
+EXACT = 24
+#: Rows assigned to lists at once, and vectors compared at once by the fit: bounds memory whatever the number of lists.
+ASSIGN_ROWS = 512
+FIT_CELLS = 1 << 24
+#: Salts of the vectors that have more copies in a batch than answers are needed.
+COPY_SALTS = 64
 
 
 @dataclass
@@ -85,7 +92,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spheric
 
 def _nearest(x: np.ndarray, c: np.ndarray, spherical: bool) -> np.ndarray:
     half = 0 if spherical else 0.5 * (c * c).sum(axis=1)
-    return np.concatenate([np.argmax(x[a : a + 8192] @ c.T - half, axis=1) for a in range(0, len(x), 8192)])
+    rows = max(64, min(8192, FIT_CELLS // max(1, len(c))))
+    return np.concatenate([np.argmax(x[a : a + rows] @ c.T - half, axis=1) for a in range(0, len(x), rows)])
 
 
 def fit(sample: np.ndarray, total: int, k: int, probes: float, rerank: int, parts: int, list_rows: int = LIST_ROWS, seed: int = 7) -> Index:
@@ -102,7 +110,7 @@ def fit(sample: np.ndarray, total: int, k: int, probes: float, rerank: int, part
     # the margin that gives ``probes`` lists a query on average: vectors inside a cluster need fewer, those between clusters more
     margin = 0.0
     if lists > 1:
-        some = x[rng.permutation(len(x))[:8192]] @ c.T
+        some = x[rng.permutation(len(x))[: max(256, min(8192, FIT_CELLS // lists))]] @ c.T
         near = -np.sort(-some, axis=1)[:, :MAX_PROBES]
         gaps = np.sort((near[:, :1] - near[:, 1:]).ravel())
         margin = float(gaps[min(len(gaps) - 1, int((probes - 1) * len(near)))])
@@ -153,6 +161,15 @@ def _copies(ids: list, m: np.ndarray, keep: int) -> tuple[list[bytes], np.ndarra
     return digests, np.array([rows[0] for rows in group.values()], dtype=int), [n[:keep] for n in names], spare
 
 
+def _closest(m: np.ndarray, centroids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest lists of each row and their similarities, nearest first."""
+    near = unit(m).astype(np.float32) @ centroids.T
+    lists = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    close = np.take_along_axis(near, lists, 1)
+    order = np.argsort(-close, axis=1, kind="stable")
+    return np.take_along_axis(lists, order, 1), np.take_along_axis(close, order, 1)
+
+
 def assign(batch: pa.RecordBatch, x: Index, dim: int) -> list[tuple[int, int, bool, bytes]]:
     """(list, salt, home, packed vectors) of a batch."""
     ids, m = _matrix(batch, dim)
@@ -160,12 +177,9 @@ def assign(batch: pa.RecordBatch, x: Index, dim: int) -> list[tuple[int, int, bo
         return []
     digests, rows, names, _ = _copies(ids, m, x.k + 1)
     m = m[rows]
-    near = unit(m).astype(np.float32) @ x.centroids.T
-    most = min(MAX_PROBES, near.shape[1])
-    lists = np.argpartition(-near, most - 1, axis=1)[:, :most]
-    close = np.take_along_axis(near, lists, 1)
-    order = np.argsort(-close, axis=1, kind="stable")
-    lists, close = np.take_along_axis(lists, order, 1), np.take_along_axis(close, order, 1)
+    most = min(MAX_PROBES, len(x.centroids))
+    found = [_closest(m[a : a + ASSIGN_ROWS], x.centroids, most) for a in range(0, len(m), ASSIGN_ROWS)]
+    lists, close = (np.concatenate(p) for p in zip(*found, strict=True))
     asked = close >= close[:, :1] - x.margin
     asked[:, 0] = True
     out: list[tuple[int, int, bool, bytes]] = []
@@ -207,52 +221,55 @@ def search_list(blobs: list[bytes], homes: list[bool], c: int, x: Index) -> tupl
     for r, d in enumerate(asks):
         if d not in home:
             seen.setdefault(d, r)
-    member = unit(np.array(rows))
+    # members in the order of their smallest ids, so that of equal cosines the lower position wins
+    digests = sorted(home, key=lambda d: min(home[d]))
+    place = {d: r for r, d in enumerate(home)}
+    member = unit(np.array(rows)[[place[d] for d in digests]])
+    known = [sorted(set(home[d])) for d in digests]
+    single = np.array([len(n) == 1 for n in known])
+    names = np.empty(len(known), dtype=object)
+    names[:] = [n[0] for n in known]
     query = member if not seen else np.concatenate([member, unit(np.concatenate(ask_rows)[list(seen.values())])])
-    digests = [*home, *seen]
-    known = [sorted(set(v)) for v in home.values()]
-    first = [n[: x.k + 1] for n in known]
-    parts, _, size = x.codebooks.shape
+    digests += seen
     n = len(member)
-    take = min(n, x.rerank)
+    take, exact_of, top = min(n, x.rerank), min(n, max(EXACT, 2 * x.k + 2)), min(n, x.k + 1)
     m32, cent = member.astype(np.float32), x.centroids[c]
-    if take < n:
-        res = (m32 - cent).reshape(n, parts, size)
-        codes = np.stack([_nearest(np.ascontiguousarray(res[:, j]), x.codebooks[j], False) for j in range(parts)])
+    parts, _, size = x.codebooks.shape
+    res = (m32 - cent).reshape(n, parts, size)
+    codes = np.stack([_nearest(np.ascontiguousarray(res[:, j]), x.codebooks[j], False) for j in range(parts)])
     ids_out, cos_out = [], []
-    for a in range(0, len(query), 1024):
-        q = query[a : a + 1024]
-        if take < n:
-            q32 = q.astype(np.float32)
-            score = np.repeat((q32 @ cent)[:, None], n, axis=1)
-            for j in range(parts):
-                table = q32[:, j * size : (j + 1) * size] @ x.codebooks[j].T
-                score += np.take(table, codes[j], axis=1)
-            short = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        else:
-            short = np.broadcast_to(np.arange(n), (len(q), n))
-        # one product of matrices costs less than gathering the shortlists' vectors; only shortlisted values are used
-        exact = np.round(np.take_along_axis(q @ member.T, short, 1), 12)
-        order = np.argsort(-exact, axis=1, kind="stable")
-        for i in range(len(q)):
-            best: list[tuple[float, object]] = []
-            for r in order[i]:
-                # ties are broken by id, so all members of the last cosine are looked at
-                if len(best) > x.k and -exact[i, r] > best[x.k][0]:
-                    break
-                best += [(-float(exact[i, r]), name) for name in first[short[i, r]]]
-                best.sort()
-            ids_out.append([b for _, b in best[: x.k + 1]])
-            cos_out.append([-v for v, _ in best[: x.k + 1]])
+    for a in range(0, len(query), 64):
+        q = query[a : a + 64]
+        q32 = q.astype(np.float32)
+        # asymmetric distance tables: a query's inner products with all codewords of each part
+        score = np.zeros((len(q), n), dtype=np.float32)
+        for j in range(parts):
+            score += np.take(q32[:, j * size : (j + 1) * size] @ x.codebooks[j].T, codes[j], axis=1)
+        short = np.argpartition(-score, take - 1, axis=1)[:, :take]
+        fine = np.matmul(m32[short], q32[:, :, None])[:, :, 0]
+        few = np.take_along_axis(short, np.argpartition(-fine, min(take, exact_of) - 1, axis=1)[:, : min(take, exact_of)], 1)
+        exact = np.round(np.matmul(member[few], q[:, :, None])[:, :, 0], 12)
+        order = np.lexsort((few, -exact), axis=1)[:, :top]
+        few, exact = np.take_along_axis(few, order, 1), np.take_along_axis(exact, order, 1)
+        plain = single[few].all(axis=1)
+        named = names[few]
+        for r in range(len(q)):
+            if plain[r]:
+                ids_out.append(named[r])
+                cos_out.append(exact[r])
+            else:  # copies stand side by side, by id; k + 1 members hold the k + 1 best ids
+                best = sorted((-v, i) for v, p in zip(exact[r].tolist(), few[r], strict=True) for i in known[p][: x.k + 1])[: x.k + 1]
+                ids_out.append([i for _, i in best])
+                cos_out.append([-v for v, _ in best])
     return digests, [*known, *[[] for _ in seen]], ids_out, cos_out
 
 
 def fit_table(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int, probes: float, rerank: int, parts: int, list_rows: int = LIST_ROWS) -> Index | None:
     total = vectors.count()
     want = int(min(MAX_SAMPLE, max(4096, 48 * total**0.5)))
-    share = min(1.0, 1.1 * want / max(total, 1))
+    share = min(1.0, want / max(total, 1))
     pick = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
-    table = vectors.filter(pick).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("embedding")).limit(want).toArrow()
+    table = vectors.filter(pick).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("embedding")).limit(2 * want).toArrow()
     found = [_matrix(b, dim)[1] for b in table.to_batches()]
     sample = np.concatenate(found) if found else np.zeros((0, dim), np.float32)
     return fit(sample, total, k, probes, rerank, parts, list_rows) if len(sample) else None
@@ -296,8 +313,10 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int
             spare = _copies(ids, m, k + 1)[3] if ids else []
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in spare], pa.binary()), pa.array([i for _, i in spare], b.column(0).type)], names=["d", "id"])
 
-    # ids beyond the k + 1 smallest of their copies in a batch
-    rest = slim.mapInArrow(leftover, f"d binary, id {kind}").join(merged.select("d", "best"), "d").select("id", "best")
+    # ids beyond the k + 1 smallest of their copies in a batch; a vector that a third of all rows hold is salted
+    spare = slim.mapInArrow(leftover, f"d binary, id {kind}").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
+    of = merged.join(spare.select("d").distinct(), "d", "left_semi").select("d", "best", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt"))
+    rest = spare.join(of, ["d", "salt"]).select("id", "best")
     all_ids = merged.select(F.explode("known").alias("id"), "best").unionByName(rest)
     own = F.slice(F.filter("best", lambda b: b["name"] != F.col("id")), 1, k)
     return all_ids.select("id", F.posexplode(own).alias("pos", "b")).select("id", F.col("b.name").alias("neighbor"), (-F.col("b.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))

@@ -37,6 +37,16 @@ def test_recall(spark, list_rows):
     assert sum(len(set(got[i]) & set(true[i])) for i in true) / (5 * len(true)) >= 0.93
 
 
+def test_recall_at_full_width(spark):
+    m = table(2500, 384, 5)
+    ids = [f"v{k:05}" for k in range(len(m))]
+    got = {}
+    for r in N.nearest(frame(spark, ids, m), "id", "embedding").collect():
+        got.setdefault(r["id"], set()).add(r["neighbor"])
+    true = brute(ids, m, 5)
+    assert sum(len(got[i] & set(true[i])) for i in true) / (5 * len(true)) >= 0.95
+
+
 def test_copies_bad_vectors_and_ties(spark):
     m = table(40, 8, 1)
     ids = [f"v{k:02}" for k in range(40)]
