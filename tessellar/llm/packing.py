@@ -3,7 +3,8 @@
 A container has three capacities: tokens, documents, and attention cost (the sum of squared lengths).  Items are taken
 longest first; each goes to the open container whose residual vector, after it, has the least weighted norm, among those
 where it keeps every constraint, and to a new one if there is none (vector best fit).  Only a text longer than the
-capacity is split: into full containers and one rest.
+capacity is split: into full containers and one rest.  A text whose cost alone is above the cost capacity is never split
+for that: it has a container to itself.
 
 Packing is local to shards of about ``SHARD_TOKENS`` tokens, drawn by a hash, so a task's work is bounded and no key
 decides a shard's size.  What a shard leaves in containers that are not nearly full is packed again in fewer shards,
@@ -26,6 +27,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's byte-level BPE splits text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 CAPACITY = 2048
+MAX_DOCS = 64
+#: Attention cost a shared container may have, as a share of that of one text filling it.
+COST_SHARE = 0.9
 SHARD_TOKENS = 4_000_000
 #: A container at least this full is not opened again.
 FULL = 0.995
@@ -49,7 +53,8 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
 
 
 def best_fit(tokens: np.ndarray, capacity: int, max_docs: int, max_cost: int, weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> np.ndarray:
-    """Container number of each item (each at most ``capacity`` tokens), items in the given order."""
+    """Container number of each item (each at most ``capacity`` tokens), items in the given order; an item of more than
+    ``max_cost`` is alone in its container."""
     cap = np.array([capacity, max_docs, max_cost], dtype=np.float64)
     weight = np.array(weights)
     room = np.empty((max(16, len(tokens)), 3))  # residual capacities, as fractions
@@ -57,6 +62,9 @@ def best_fit(tokens: np.ndarray, capacity: int, max_docs: int, max_cost: int, we
     live = np.empty(0, dtype=np.int64)  # containers that can take anything at all
     one = 1.0 / max_docs
     for i, t in enumerate(tokens):
+        if float(t) * t > max_cost:
+            out[i], used = used, used + 1
+            continue
         need = np.array([t, 1.0, float(t) * t]) / cap
         rest = room[live] - need
         fits = (rest > -1e-9).all(axis=1)
@@ -96,15 +104,13 @@ def _filler(level: int, capacity: int, max_docs: int, max_cost: int):
     return fill
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, max_docs: int = 256, max_cost: int | None = None, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``container`` (string), ``doc``, ``token_start``, ``token_end``: what each container holds.
 
     Null and empty texts are in no container.  A repeated row or id is an item each time.  ``max_cost`` is the attention
-    cost a container may have, by default that of one text filling it.
+    cost a container of several texts may have, by default ``COST_SHARE`` of that of one text filling it.
     """
-    max_cost = max_cost or capacity * capacity
-    if max_cost < capacity * capacity:
-        raise ValueError("a full-length text would fit no container: max_cost must be at least capacity squared")
+    max_cost = max_cost or int(COST_SHARE * capacity * capacity)
     kind = docs.schema[id_col].dataType.simpleString()
     counts = cut_lineage(token_counts(docs, id_col, text_col, vocabulary).withColumn("row", F.monotonically_increasing_id()))
     pieces = counts.select("row", "doc", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / capacity))).alias("piece"))
@@ -117,10 +123,10 @@ def pack(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY,
     level, shards_before = 0, 0
     while total:
         shards = int(-(-total // shard_tokens))
-        packed = left.withColumn("shard", F.pmod(F.xxhash64("row", "token_start", F.lit(level)), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_filler(level, capacity, max_docs, max_cost), schema)
+        packed = left.withColumn("shard", F.pmod(F.xxhash64("row", "token_start", F.lit(level)), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInPandas(_filler(level, capacity, max_docs, max_cost), schema)
         packed = cut_lineage(packed)
         last = shards == 1 or shards == shards_before
-        keep = F.lit(True) if last else F.col("fill") >= int(FULL * capacity)
+        keep = F.lit(True) if last else (F.col("fill") >= int(FULL * capacity)) | (F.col("tokens") * F.col("tokens") > max_cost)
         done = done.unionByName(packed.filter(keep).select("container", "doc", "token_start", "token_end"))
         if last:
             break
@@ -134,3 +140,23 @@ def summary(contents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per container: tokens, documents, unused tokens and attention cost."""
     size = F.col("token_end") - F.col("token_start")
     return contents.groupBy("container").agg(F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum(size * size).alias("cost")).withColumn("unused", F.lit(capacity) - F.col("tokens"))
+
+
+def invariants(contents: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None) -> DataFrame:
+    """One row: documents packed, and how often each rule is broken (containers over a capacity; documents split though
+    they fit, or whose pieces leave gaps or overlap)."""
+    max_cost = max_cost or int(COST_SHARE * capacity * capacity)
+    boxes = summary(contents, capacity).agg(
+        F.count(F.when(F.col("tokens") > capacity, 1)).alias("over_tokens"),
+        F.count(F.when(F.col("documents") > max_docs, 1)).alias("over_documents"),
+        F.count(F.when((F.col("documents") > 1) & (F.col("cost") > max_cost), 1)).alias("over_cost"),
+    )
+    size = F.col("token_end") - F.col("token_start")
+    docs = contents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(size).alias("tokens"), F.max("token_end").alias("last"), F.min("token_start").alias("first"), F.countDistinct("token_start").alias("starts"))
+    parts = docs.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= capacity), 1)).alias("split_needlessly"),
+        F.count(F.when((F.col("first") != 0) | (F.col("tokens") != F.col("last")) | (F.col("starts") != F.col("pieces")), 1)).alias("gaps"),
+    )
+    one = F.lit(1).alias("_one")
+    return boxes.select("*", one).join(parts.select("*", one), "_one").drop("_one")

@@ -10,7 +10,7 @@ from tessellar.llm.leakage import leaks
 from tessellar.llm.mojibake import garbled
 from tessellar.llm.near_dup import record_groups, record_pairs, similar_sets
 from tessellar.llm.neighbors import nearest
-from tessellar.llm.packing import pack, summary
+from tessellar.llm.packing import invariants, pack, summary
 from tessellar.llm.split_overlap import near_matches
 from tessellar.llm.words import all_text, words
 
@@ -73,6 +73,10 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return summary(pack(_t(spark, d, "documents"), "doc_id", "text"))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return invariants(pack(_t(spark, d, "documents"), "doc_id", "text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_items"), "item_id", "text", words=12).select("doc_id", "item_id")
 
@@ -90,7 +94,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled(_t(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_containers": p7_containers, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p7_containers": p7_containers, "p7_invariants": p7_invariants, "p8_found": p8_found, "p8_edited": p8_edited, "p9_found": p9_found, "p9_restored": p9_restored}
 
 _W = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'))"
 _LIKE = "(len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))))"
@@ -104,6 +108,8 @@ _OVER = f"""WITH e AS (SELECT 'golden_report' AS origin, report_id AS eval_id, k
            AND {_LIKE.format("e.w", "t.w")} >= 0.7)"""
 
 ORACLES = {
+    # every document with text once and whole, no rule broken
+    "p7_invariants": "SELECT 0 AS over_tokens, 0 AS over_documents, 0 AS over_cost, count(*) AS documents, 0 AS split_needlessly, 0 AS gaps FROM documents WHERE text <> ''",
     "p2_found": _PAIRS,
     "p2_groups": f"""WITH RECURSIVE r AS (SELECT id, {_W.format("concat_ws(' ', title, description, array_to_string(paraphrases, ' '))")} AS w FROM recipes),
   k AS (SELECT id, list_sort(w) AS w, min(id) OVER (PARTITION BY list_sort(w)) AS class_id FROM r WHERE len(w) > 0),

@@ -105,9 +105,11 @@ def test_long_documents_are_read_to_the_end(spark, monkeypatch):
 def test_best_fit_keeps_every_constraint():
     rng = np.random.default_rng(1)
     t = np.sort(rng.integers(1, 100, 400))[::-1]
-    for docs, cost in ((1000, 10_000), (3, 10_000), (1000, 10_000)):
+    for docs, cost in ((1000, 10_000), (3, 10_000), (1000, 6_000), (2, 4_000)):
         b = best_fit(t, 100, docs, cost)
-        assert np.bincount(b, weights=t).max() <= 100 and np.bincount(b).max() <= docs and np.bincount(b, weights=t * t).max() <= cost
+        many = np.bincount(b) > 1
+        assert np.bincount(b, weights=t).max() <= 100 and np.bincount(b).max() <= docs and np.bincount(b, weights=t * t)[many].max() <= cost
+    assert len(set(best_fit(t, 100, 1000, 4_000))) > len(set(best_fit(t, 100, 1000, 10_000))) < len(set(best_fit(t, 100, 2, 10_000)))
     assert len(set(best_fit(t, 100, 1000, 10_000))) <= 1.05 * t.sum() / 100
 
 
