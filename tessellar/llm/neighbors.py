@@ -314,7 +314,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, dim: int
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in spare], pa.binary()), pa.array([i for _, i in spare], b.column(0).type)], names=["d", "id"])
 
     # ids beyond the k + 1 smallest of their copies in a batch; a vector that a third of all rows hold is salted
-    spare = slim.mapInArrow(leftover, f"d binary, id {kind}").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
+    spare = cut_lineage(slim.mapInArrow(leftover, f"d binary, id {kind}")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
     of = merged.join(spare.select("d").distinct(), "d", "left_semi").select("d", "best", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt"))
     rest = spare.join(of, ["d", "salt"]).select("id", "best")
     all_ids = merged.select(F.explode("known").alias("id"), "best").unionByName(rest)
