@@ -3,7 +3,7 @@
 The characters of a text are mapped back to the bytes of a legacy code page.  Over those bytes runs an automaton of the
 byte structure of UTF-8 (or of Shift_JIS, EUC-JP), compiled to a regular expression over the page's own characters; it
 finds the maximal well-formed multibyte spans, and only those spans are decoded.  A span counts only if what it decodes
-to is plausible text.  Spans are tried over several pages, again for doubly wrong text, and through named character
+to is plausible text: assigned characters, letters of one script, more than a chance pair of them.  Spans are tried over several pages, again for doubly wrong text, and through named character
 references.  Cyrillic read with another Cyrillic page has no multibyte structure: there a run of letters is decoded with
 the page under which its letters have the frequencies of Russian.  U+FFFD marks text whose bytes are lost.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,12 +77,17 @@ def to_bytes(s: str, name: str) -> bytes:
 
 
 _LATIN, _PUNCT, _DRAWN, _CYR, _EAST = range(5)
+#: First words of the names of characters that are no letters of a living script.
+_RARE = {"?", "COPTIC", "COMBINING", "MODIFIER", "SUPERSCRIPT", "SUBSCRIPT", "ROMAN", "CIRCLED", "PARENTHESIZED", "MATHEMATICAL", "FULLWIDTH", "HALFWIDTH", "VULGAR", "SMALL", "DOUBLE-STRUCK", "SCRIPT", "BLACK-LETTER", "TURNED", "GLAGOLITIC", "RUNIC", "OGHAM"}
 
 
-def _kind(ch: str) -> int | None:
-    """Class of a plausible character, None for any other."""
+@lru_cache(1 << 16)
+def _kind(ch: str) -> int | str | None:
+    """Class of a plausible character (of a letter of another script: the script), None for any other."""
     o = ord(ch)
-    if 0xA0 <= o <= 0x17F or o in (0x2C6, 0x2DC):
+    if o in (0x138, 0x149, 0x166, 0x167, 0x17F):  # in no language's plain spelling, often a chance pair
+        return None
+    if 0xA0 <= o <= 0x17F or 0x1E00 <= o <= 0x1EFF or o in (0x1A0, 0x1A1, 0x1AF, 0x1B0, 0x218, 0x219, 0x21A, 0x21B, 0x2C6, 0x2DC):
         return _LATIN
     if 0x2010 <= o <= 0x203A or o in (0x20AC, 0x2122, 0x2116):
         return _PUNCT
@@ -91,7 +97,21 @@ def _kind(ch: str) -> int | None:
         return _CYR
     if 0x3000 <= o <= 0x30FF or 0x4E00 <= o <= 0x9FFF or 0xFF01 <= o <= 0xFF9F:
         return _EAST
-    return _PUNCT if o >= 0x1F300 and o <= 0x1FAFF else None
+    if 0x1F300 <= o <= 0x1FAFF or 0xFE00 <= o <= 0xFE0F or o == 0x200D:
+        return _PUNCT
+    if o >= 0x370 and unicodedata.category(ch)[0] in "LMN":
+        script = unicodedata.name(ch, "?").split(" ")[0]
+        return script if script not in _RARE else None
+    return None
+
+
+def _scripts(kinds: list) -> dict[str, int]:
+    """Letters of each script other than Latin, Cyrillic and East Asian ones."""
+    out: dict[str, int] = {}
+    for k in kinds:
+        if isinstance(k, str):
+            out[k] = out.get(k, 0) + 1
+    return out
 
 
 def _decode_deep(s: str, depth: int = 3) -> str | None:
@@ -134,7 +154,18 @@ def _spans(text: str, name: str) -> list[tuple[int, int, str]]:
             taken.update(range(a, b))
         outside = sum(1 for i, ch in enumerate(text) if _kind(ch) == _CYR and i not in taken)
     kept = []
+    others = _scripts([x for k in kinds for x in k])
+    main = max(others, key=lambda x: (others[x], x)) if others else None
+    starts, stops = {a for a, _, _ in found}, {b for _, b, _ in found}
     for (a, b, d), k in zip(found, kinds, strict=True):
+        mine = _scripts(k)
+        # letters of another script: of one script in the whole text, more than a chance pair, and not among Cyrillic or East Asian ones
+        if mine and (set(mine) != {main} or others[main] < 3 or max(mine.values()) < 2 and others[main] < 6 or _CYR in k or _EAST in k):
+            continue
+        # one accented letter, or letters of another script, beside a character of the page that is in no span: a one-byte page
+        beside = a > 0 and a not in stops and _high_letter(text[a - 1]) or b < len(text) and b not in starts and _high_letter(text[b])
+        if beside and (mine or len(d) == 1 and k[0] == _LATIN):
+            continue
         if _CYR in k and (cyr < 3 or run_cyr < 2) or _EAST in k and (east < 2 or run_east < 2):
             continue
         if name in _CYRILLIC_PAGES and outside > 3:
@@ -146,6 +177,10 @@ def _spans(text: str, name: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def _high_letter(ch: str) -> bool:
+    return ch >= "\x80" and ch.isalpha()
+
+
 _ENTITY = re.compile(r"(?:&[A-Za-z][A-Za-z0-9]{1,8};|[^\x00-\x7f])*&[A-Za-z][A-Za-z0-9]{1,8};(?:&[A-Za-z][A-Za-z0-9]{1,8};|[^\x00-\x7f])*")
 
 
@@ -172,8 +207,8 @@ def _replace(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _japanese(text: str) -> tuple[str, int]:
-    """Shift_JIS or EUC-JP read as cp1252."""
+def _japanese(text: str) -> tuple[str, int, int]:
+    """Shift_JIS or EUC-JP read as cp1252: text, spans and the characters they cover."""
     best: tuple[int, str, int] = (0, text, 0)
     for written in ("shift_jis", "euc_jp"):
         spans, short, gain = [], [], 0
@@ -182,7 +217,7 @@ def _japanese(text: str) -> tuple[str, int]:
                 d = to_bytes(m.group(), "cp1252").decode("cp932" if written == "shift_jis" else written)
             except UnicodeDecodeError:
                 continue
-            if not all(_kind(ch) == _EAST for ch in d):
+            if not all(_kind(ch) == _EAST for ch in d) or d.encode("cp932" if written == "shift_jis" else written, "replace") != to_bytes(m.group(), "cp1252"):
                 continue
             if len(d) >= 3 and sum(0x3040 <= ord(ch) <= 0x30FF for ch in d) >= 0.25 * len(d):
                 spans.append((m.start(), m.end(), d))
@@ -191,20 +226,23 @@ def _japanese(text: str) -> tuple[str, int]:
                 short.append((m.start(), m.end(), d))
         if gain > best[0]:
             best = (gain, _replace(text, sorted(spans + short)), len(spans))
-    return best[1], best[2]
+    return best[1], best[2], 2 * (len(text) - len(best[1]))
 
 
 _LOG = {c: math.log(n / 10000) for c, n in RUSSIAN.items()}
 _WORST = math.log(1e-4)
+_VOWELS = "аеёиоуыэюя"
 
 
 def _russian(s: str) -> float:
-    """Log-likelihood per non-ASCII character as Russian; capitals inside words are unlikely."""
+    """Log-likelihood per non-ASCII character as Russian; unlikely are capitals inside words, a short i behind a
+    consonant and signs behind a vowel."""
     total, n, before = 0.0, 0, " "
     for ch in s:
         if ord(ch) >= 0x80:
             low = ch.lower()
-            total += _LOG.get(low, _WORST) - (2.0 if ch != low and before.isalpha() else 0.0)
+            odd = low == "й" and before.isalpha() and before.lower() not in _VOWELS or low in "ъьы" and before.lower() in _VOWELS
+            total += _LOG.get(low, _WORST) - (2.0 if ch != low and before.isalpha() else 0.0) - (4.0 if odd else 0.0)
             n += 1
         before = ch
     return total / max(n, 1)
@@ -234,9 +272,12 @@ def _swapped(text: str) -> tuple[str, int]:
             high = [ch for ch in s if ord(ch) >= 0x80]
             if any(ch not in table for ch in high):
                 continue
+            raw = bytes(table.get(ch, ord(ch)) for ch in s)
             try:
-                d = bytes(table.get(ch, ord(ch)) for ch in s).decode(right)
-            except UnicodeDecodeError:
+                d = raw.decode(right)
+                if d.encode(right) != raw:
+                    continue
+            except UnicodeError:
                 continue
             now, n = _russian(d), len(high)
             letters = sum(1 for ch in d if ch.lower() in RUSSIAN)
@@ -272,8 +313,8 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
             gain = sum(b - a for a, b, _ in spans)
             if gain > best[0]:
                 best = (gain, name, spans)
-        fixed, k = _japanese(text) if _LEADS.search(text) else (text, 0)
-        if k and len(text) - len(fixed) > best[0] // 2:
+        fixed, k, covered = _japanese(text) if _LEADS.search(text) else (text, 0, 0)
+        if k and covered > 2 * best[0]:
             text, n = fixed, n + k
             continue
         if not best[0]:

@@ -136,3 +136,27 @@ def test_packing(spark):
     assert max(r["tokens"] for r in s) <= 256 and len(s) <= -(-sum(want.values()) // 256) + 4
     assert pack(df.limit(0), "doc_id", "text").count() == 0
     assert CAPACITY == 2048
+
+
+SCRIPTS = {
+    "greek": "Η ομάδα συγχωνεύει τις αλλαγές", "korean": "변경 사항을 병합하세요", "hebrew": "מיזוג שינויים בענף", "arabic": "دمج التغييرات في الفرع", "thai": "รวมการเปลี่ยนแปลง", "vietnamese": "Hợp nhất các thay đổi của nhánh",
+    "hindi": "शाखा में बदलाव मिलाएं", "polish": "Połącz zmiany w gałęzi źródłowej", "czech": "Sloučit změny ve větvi přes účet", "chinese": "合并分支中的更改", "ukrainian": "Злиття змін у гілці їжак", "turkish": "Değişiklikleri birleştir ığüşöç",
+}
+
+
+def misread(t, page, written="utf-8"):
+    return "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in t.encode(written))
+
+
+@pytest.mark.parametrize("t", SCRIPTS.values(), ids=SCRIPTS)
+def test_scripts(t):
+    assert repair(t) == (t, 0, False)
+    for page in ("cp1252", "latin-1", "mac_roman", "cp437", "koi8_r"):
+        fixed, n, lost = repair("Note: " + misread(t, page) + " (docs)")
+        assert n and not lost and fixed == "Note: " + t + " (docs)", page
+
+
+@pytest.mark.parametrize("name,written", [("chinese", "gbk"), ("chinese", "gb18030"), ("greek", "cp1253"), ("polish", "cp1250"), ("hebrew", "cp1255"), ("arabic", "cp1256"), ("korean", "euc_kr"), ("turkish", "cp1254"), ("thai", "cp874")])
+def test_no_wrong_text_is_returned(name, written):
+    t = "Note: " + misread(SCRIPTS[name], "cp1252", written) + " (docs)"
+    assert repair(t)[0] == t
