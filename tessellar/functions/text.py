@@ -67,19 +67,25 @@ def query_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_+\-]+"), lambda t: t != "")
 
 
+# Patterns of queries that aren't kept, in order (non_text also demands no two letters in a row).
+JUNK_PATTERNS = [
+    ("non_text", r"^[\W\d_\s]{1,}$"),
+    ("pii_email", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"),
+    ("pii_token", r"\b(ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,})\b"),
+    ("pii_home_path", r"(?i)(?:/Users/[^/\s]+|/home/[^/\s]+|C:\\Users\\[^\\\s]+)"),
+    ("pii_private_url", r"(?i)https?://(?:localhost|127\.0\.0\.1|192\.168\.|10\.|.*\.local)[^\s]*"),
+    ("spam_repeat", r"^(.)\1{8,}$"),
+]
+
+
 def junk_reason(c: Column) -> Column:
     """FLT-03: why a query isn't fit to keep, first reason in order; null if it is."""
     q = trimmed(F.coalesce(c, F.lit("")))
-    return (
-        F.when(q == "", "empty")
-        .when(F.length(q) < 2, "too_short")
-        .when(q.rlike(r"^[\W\d_\s]+$") & ~q.rlike("[a-zA-Z]{2,}"), "non_text")
-        .when(q.rlike(r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), "pii_email")
-        .when(q.rlike(r"\b(ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,})\b"), "pii_token")
-        .when(q.rlike(r"(?i)(/Users/[^/\s]+|/home/[^/\s]+|C:\\Users\\[^\\\s]+)"), "pii_home_path")
-        .when(q.rlike(r"(?i)https?://(localhost|127\.0\.0\.1|192\.168\.|10\.|.*\.local)[^\s]*"), "pii_private_url")
-        .when(q.rlike(r"^(.)\1{8,}$"), "spam_repeat")
-    )
+    out = F.when(q == "", "empty").when(F.length(q) < 2, "too_short")
+    for reason, pattern in JUNK_PATTERNS:
+        met = q.rlike(pattern)
+        out = out.when(met & ~q.rlike("[a-zA-Z]{2,}") if reason == "non_text" else met, reason)
+    return out
 
 
 def is_command_like(c: Column) -> Column:

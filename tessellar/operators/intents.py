@@ -121,14 +121,21 @@ def scrambled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([scramble(t, s) for t, s in zip(text, seed, strict=True)])
 
 
+# What a working copy must hold for a list of commands, first match in order.
+FIXTURES = [
+    (r"\bgit clone\b", "bare_workdir"),
+    (r"\bgit init\b", "bare_workdir"),
+    (r"\b(push|pull|fetch)\b", "with_remote"),
+    (r"\b(rm|mv)\b", "with_tracked_file"),
+    (r"\bcommit\b", "staged_changes"),
+    (r"\bmerge\b", "two_branches"),
+    (r"\brebase\b", "with_history"),
+    (r"\b(status|diff|add)\b", "dirty_worktree"),
+    (r"\b(log|show|checkout|switch|branch|reset|tag)\b", "with_commit"),
+]
+
+
 def fixture_hint(commands: Column) -> Column:
-    """STR-11: kind of working copy a list of commands asks for, first match in order."""
+    """STR-11: kind of working copy a list of commands asks for."""
     j = F.lower(F.array_join(commands, " "))
-    rules = [
-        (r"\bgit (clone|init)\b", "bare_workdir"), (r"\b(push|pull|fetch)\b", "with_remote"), (r"\b(rm|mv)\b", "with_tracked_file"), (r"\bcommit\b", "staged_changes"), (r"\bmerge\b", "two_branches"),
-        (r"\brebase\b", "with_history"), (r"\b(status|diff|add)\b", "dirty_worktree"), (r"\b(log|show|checkout|switch|branch|reset|tag)\b", "with_commit"),
-    ]
-    out = None
-    for pattern, name in rules:
-        out = F.when(j.rlike(pattern), name) if out is None else out.when(j.rlike(pattern), name)
-    return out.otherwise("inited")
+    return F.coalesce(*[F.when(j.rlike(pattern), F.lit(name)) for pattern, name in FIXTURES], F.lit("inited"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessellar.functions.text import slug
 from tessellar.session import cut_lineage
 
+#: Sections of the help listing that count.
 SECTIONS = ["Main Porcelain Commands", "Ancillary Commands / Manipulators", "Ancillary Commands / Interrogators"]
 
 
