@@ -71,7 +71,7 @@ def evaluation_intents(intents: DataFrame, recipes: DataFrame) -> DataFrame:
     left out; an intent without a command of its own takes the first two words of the recipe's."""
     first = straight_quotes(C.primary_command(F.col("commands")))
     r = recipes.select(F.col("id").alias("recipe_id"), first.alias("example"), F.coalesce("taxonomy_leaf", F.lit("git")).alias("topic"))
-    j = intents.select("intent_id", F.trim("text").alias("text"), "recipe_id").filter(F.coalesce("text", F.lit("")) != "").filter(~is_command_like(F.col("text"))).join(r, "recipe_id")
+    j = intents.select("intent_id", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("text"), "recipe_id").filter(F.coalesce("text", F.lit("")) != "").filter(~is_command_like(F.col("text"))).join(r, "recipe_id")
     j = j.filter((F.col("example") == "") | (F.lower(straight_quotes(F.col("text"))) != F.lower("example")))
     return j.select("intent_id", "text", "recipe_id", "example", F.array_join(F.slice(F.split("example", r"\s+"), 1, 2), " ").alias("command"), "topic")
 
@@ -225,7 +225,7 @@ def covered_areas(cases: DataFrame) -> DataFrame:
     """AGG-24: distinct topics and commands of cases (tags, commands), sorted; tags that only mark how a case was made don't count."""
     made = F.exists(F.array(F.lit("generated")), lambda x: F.col("v") == x) | F.col("v").startswith("cycle-")
     topics = cases.select(F.explode("tags").alias("v")).filter((F.coalesce("v", F.lit("")) != "") & ~made).select(F.lit("topic").alias("area"), "v")
-    commands = cases.select(straight_quotes(F.explode("commands")).alias("v")).filter(F.coalesce("v", F.lit("")) != "").select(F.lit("command").alias("area"), "v")
+    commands = cases.select(F.explode("commands").alias("v")).select(straight_quotes(F.col("v")).alias("v")).filter(F.coalesce("v", F.lit("")) != "").select(F.lit("command").alias("area"), "v")
     return topics.unionByName(commands).distinct().select("area", F.col("v").alias("value"))
 
 
