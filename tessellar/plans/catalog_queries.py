@@ -15,6 +15,7 @@ from tessellar.operators import similarity as sim
 from tessellar.operators import taxonomy as tax
 from tessellar.operators.fulltext import embed_text, recipe_body
 from tessellar.operators.vectors import close_pairs, knn
+from tessellar.plans.identity_sql import fingerprints_sql
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -120,9 +121,9 @@ def state_buckets(spark, d):
     return _t(spark, d, "recipes").groupBy(C.state_bucket(F.col("initial_state")).alias("bucket")).agg(F.count(F.lit(1)).alias("recipes"))
 
 
-@query()
+@query(f"WITH {fingerprints_sql()} SELECT id, fingerprint FROM fp")
 def structural_fingerprints(spark, d):
-    """DED-01 (a state machine over quoted tokens; no SQL)."""
+    """DED-01."""
     return _t(spark, d, "recipes").select("id", C.fingerprint(F.transform(F.coalesce("commands", F.array().cast(C.STEPS)), lambda s: s["command"])).alias("fingerprint"))
 
 
@@ -192,9 +193,13 @@ def fingerprint_merge(spark, d):
     return cat.merge_groups(_t(spark, d, "recipes").withColumn("merge_key", key), ["merge_key"]).select("merge_key", "id", "records", F.size("tags").cast("bigint").alias("tags"))
 
 
-@query()
+@query(f"""WITH {fingerprints_sql()}, r AS (SELECT coalesce(taxonomy_leaf, '') AS leaf, fingerprint, id, trim(coalesce(description, ''), ' ') AS de, trim(coalesce(title, ''), ' ') AS ti, coalesce(paraphrases, []) AS pa,
+    coalesce(validated, false)::INT * 500 + len(coalesce(paraphrases, [])) * 10 + least(length(coalesce(description, '')), 500) AS score FROM recipes JOIN fp USING (id)),
+  g AS (SELECT leaf, fingerprint, count(*) AS records, list(id ORDER BY -score, id) AS ids, list(ti ORDER BY -score, id) AS tis, list(de ORDER BY -score, id) AS des, list_distinct(list_filter(flatten(list(pa || [de, ti])), lambda x: coalesce(x, '') <> '')) AS said FROM r GROUP BY ALL),
+  f AS (SELECT *, list_reduce(des, lambda cur, x: CASE WHEN length(x) > length(cur) * 1.2 THEN x ELSE cur END) AS description FROM g)
+SELECT leaf, fingerprint, ids[1] AS id, records, description, len(list_filter(said, lambda x: x <> description AND x <> tis[1])) AS paraphrases FROM f""")
 def structural_merge(spark, d):
-    """DED-01..03 with DED-02: groups by structural fingerprint within a leaf, descriptions and paraphrases folded."""
+    """DED-01 with DED-02: groups by structural fingerprint within a leaf, descriptions and paraphrases folded."""
     fp = C.fingerprint(F.transform(F.coalesce("commands", F.array().cast(C.STEPS)), lambda s: s["command"]))
     r = _t(spark, d, "recipes").withColumn("fingerprint", fp).withColumn("leaf", F.coalesce("taxonomy_leaf", F.lit("")))
     return cat.merge_groups(r, ["leaf", "fingerprint"]).select("leaf", "fingerprint", "id", "records", "description", F.size("paraphrases").alias("paraphrases"))

@@ -12,6 +12,7 @@ from tessellar.operators.fulltext import bm25, build_index, recipe_body, top
 from tessellar.operators.ranking import collapse_channels, fuse
 from tessellar.operators.vectors import knn
 from tessellar.plans.hybrid import displayed, hybrid_search, open_catalog
+from tessellar.plans.identity_sql import fingerprints_sql
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -141,6 +142,12 @@ _CORE = f"""WITH {_bm25_sql(_R, "SELECT id AS query_id, trim(regexp_replace(quer
             CASE WHEN cosine IS NULL THEN '{{"commands":[]}}' ELSE js END AS js, CASE WHEN cosine IS NULL THEN 1 ELSE step_count END AS step_count FROM bo),
   ra AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, step_count, js, id) AS rank, score, cosine, bm25, boost FROM so)"""
 
+_GATE = f""", {fingerprints_sql()}, rf AS (SELECT ra.*, fingerprint FROM ra JOIN fp USING (id)),
+  hd AS (SELECT query_id, fingerprint AS hf, score AS s1, cosine AS c1, bm25 AS b1, boost AS o1 FROM rf WHERE rank = 1),
+  gg AS (SELECT query_id, s1, c1, b1, o1, arg_min(score, rank) FILTER (fingerprint <> hf) AS s2, count(DISTINCT fingerprint) AS n FROM rf JOIN hd USING (query_id) GROUP BY ALL),
+  gc AS (SELECT *, CASE WHEN s2 IS NULL THEN greatest(0, least(1, s1)) ELSE least(1, s1 * (1 + greatest(0, s1 - s2))) END AS cf, CASE WHEN s2 IS NULL THEN 0 ELSE greatest(0, s1 - s2) END AS gap, coalesce(c1, 0) < 0.6 AND b1 IS NULL AND o1 <= 0 AS weak FROM gg),
+  gs AS (SELECT *, least(CASE WHEN weak THEN 0 WHEN cf > 0.9 AND gap >= 0.2 THEN 1 WHEN cf > 0.75 AND gap >= 0.08 THEN 2 ELSE 3 END, 3, n) AS shown, CASE WHEN weak THEN 'red' WHEN cf > 0.9 AND gap >= 0.2 THEN 'none' WHEN cf > 0.75 AND gap >= 0.08 THEN 'yellow' ELSE 'orange' END AS alert FROM gc)"""
+
 ORACLES = {
     "text_index": f"WITH d AS ({_R}), t AS (SELECT doc_id, {_TOK.format('body')} AS t FROM d), p AS (SELECT doc_id, t[i] AS term, i - 1 AS pos FROM t, unnest(range(1, len(t) + 1)) AS u(i)) SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences, sum(pos)::BIGINT AS position_sum FROM p GROUP BY term",
     "bm25_topk": f"WITH {_bm25_sql(_R, _Q, '')} SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS rank FROM bm QUALIFY rank <= 100",
@@ -155,4 +162,7 @@ ORACLES = {
 SELECT query_id, id, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, round(sc, 6) AS score_cosine, round(sb, 6) AS score_bm25,
   round(CASE WHEN c1 IS NOT NULL AND b1 IS NOT NULL THEN 0.55 * coalesce(sc, 0) + 0.45 * coalesce(sb, 0) WHEN c1 IS NOT NULL THEN coalesce(sc, 0) ELSE coalesce(sb, 0) END, 6) AS score FROM n""",
     "hybrid_ranked": _CORE + " SELECT query_id, id, rank, round(score, 6) AS score, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, round(boost::DOUBLE, 6) AS boost FROM ra",
+    "hybrid_gate": _CORE + _GATE + " SELECT query_id, round(cf, 6) AS confidence, coalesce(shown, 0) AS display_count, coalesce(alert, 'red') AS alert, CASE WHEN coalesce(shown, 0) = 0 THEN 'empty' ELSE 'ok' END AS status FROM (SELECT id AS query_id FROM queries) LEFT JOIN gs USING (query_id)",
+    "hybrid_displayed": _CORE + _GATE + """, dv AS (SELECT query_id, id, score, rank FROM rf QUALIFY row_number() OVER (PARTITION BY query_id, fingerprint ORDER BY rank) = 1),
+  dr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS display_rank FROM dv) SELECT query_id, display_rank, id, round(score, 6) AS score FROM dr JOIN gs USING (query_id) WHERE display_rank <= shown""",
 }
