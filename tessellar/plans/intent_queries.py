@@ -129,9 +129,19 @@ def split_by_command(spark, d):
     return I.split_by_id(_t(spark, d, "golden_report").select("report_id", "command_id"), "command_id").select("report_id", "split")
 
 
-@query()
+_NEXT = "((({0} * 1103515245.0 + 12345.0)::HUGEINT & 4294967295) & 2147483647)::DOUBLE"
+
+
+@query(rf"""WITH g AS (SELECT report_id, query_text AS q, regexp_extract(report_id, '(\d+)$', 1)::DOUBLE AS s0, regexp_extract_all(query_text, '[\s\p{{Z}}]+|[^\s\p{{Z}}]+') AS p FROM golden_report WHERE query_text IS NOT NULL),
+  d1 AS (SELECT *, {_NEXT.format("s0")} AS s1 FROM g), d2 AS (SELECT *, {_NEXT.format("s1")} AS s2 FROM d1), d3 AS (SELECT *, {_NEXT.format("s2")} AS s3 FROM d2), d4 AS (SELECT *, {_NEXT.format("s3")} AS s4 FROM d3),
+  k AS (SELECT report_id, p, list_transform([s1, s2, s3, s4], lambda v: v / 2147483647.0) AS u, list_filter(range(1, len(p) + 1), lambda i: NOT regexp_full_match(p[i], '[\s\p{{Z}}]+')) AS w FROM d4),
+  a AS (SELECT *, CASE WHEN len(w) < 2 THEN 0 WHEN u[1] > 0.3 THEN 2 ELSE 1 END AS used, floor(u[2] * (len(w) - 1))::INT + 1 AS j FROM k),
+  b AS (SELECT *, CASE WHEN used = 2 THEN w[j] END AS x, CASE WHEN used = 2 THEN coalesce(w[j + 1], w[1]) END AS y FROM a),
+  c AS (SELECT *, array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = x THEN p[y] WHEN i = y THEN p[x] ELSE p[i] END), '') AS t FROM b),
+  e AS (SELECT *, least(floor(u[used + 1] * length(t))::INT, length(t) - 1) AS at0 FROM c)
+SELECT report_id, 'scrambled' AS kind, CASE WHEN length(t) > 4 AND regexp_full_match(substr(t, at0 + 1, 1), '[A-Za-z0-9_]') THEN substr(t, 1, at0) || chr(97 + floor(u[used + 2] * 26)::INT) || substr(t, at0 + 2) ELSE t END AS query_text FROM e""")
 def scrambled_bank(spark, d):
-    """PRJ-09, STR-16 (a double-precision generator; no SQL)."""
+    """PRJ-09, STR-16."""
     g = _t(spark, d, "golden_report").filter("query_text is not null")
     return g.select("report_id", F.lit("scrambled").alias("kind"), I.scrambled(F.col("query_text"), F.regexp_extract("report_id", r"(\d+)$", 1).cast("double")).alias("query_text"))
 
