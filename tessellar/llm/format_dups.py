@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.llm.words import text_digest, words
+from tessellar.session import cut_lineage
 
 HOT_SHARE = 1000
 SALTS = 64
@@ -36,13 +37,12 @@ def collapse(records: DataFrame, id_col: str, canonical: Column, by: list[str] |
     """
     by = by or []
     keyed = records.select(*by, F.col(id_col).alias("_id"), canonical.alias("_text")).filter("_text is not null and _text <> ''")
-    keyed = keyed.select(*by, "_id", text_digest(F.col("_text")).alias("_key"))
+    # texts are read and brought into canonical form once; what follows runs over keys and ids
+    keyed = cut_lineage(keyed.select(*by, "_id", text_digest(F.col("_text")).alias("_key")))
     keys = [*by, "_key"]
     partial = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = keyed.agg(F.count(F.lit(1)).alias("_total"))
-    floor = total.select(F.ceil(F.col("_total") / F.lit(hot_share)).alias("_least"))
-    least = floor.first()["_least"] or 1
-    hot = partial.filter(F.col("_n") >= F.lit(max(int(least), 2))).select(*keys, F.lit(True).alias("_hot"))
+    least = max(-(-keyed.count() // hot_share), 2)
+    hot = partial.filter(F.col("_n") >= F.lit(least)).select(*keys, F.lit(True).alias("_hot"))
     marked = keyed.alias("r").join(F.broadcast(hot.alias("h")), [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys], "left").select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._id").alias("_id"), F.coalesce("_hot", F.lit(False)).alias("_hot"))
     agg = lambda n: [F.min("_id").alias("_id"), n.cast("bigint").alias("_n")]
     one = marked.filter("not _hot").groupBy(*keys).agg(*agg(F.count(F.lit(1))))
