@@ -155,11 +155,14 @@ def fk_dangling(spark, d):
 
 
 @query(r"""SELECT problem, count(*) AS steps FROM (SELECT CASE WHEN c = '' THEN 'schema' WHEN length(c) > 512 THEN 'length' WHEN regexp_matches(c, '[;&|`$<>\n]') THEN 'shell_meta' WHEN NOT regexp_matches(c, '^git(\s|$)') THEN 'allowlist'
-  WHEN regexp_matches(c, '<[^>]+>') THEN 'placeholder' WHEN len(string_split_regex(c, '\s+')) > 14 THEN 'prose' WHEN contains(c, '#') THEN 'inline_comment' ELSE 'ok' END AS problem FROM (SELECT trim(coalesce(unnest(commands).command, '')) AS c FROM recipes)) GROUP BY 1""")
+  WHEN regexp_matches(c, '<[^>]+>') THEN 'placeholder' WHEN len(string_split_regex(c, '\s+')) > 14 THEN 'prose' WHEN contains(c, '#') THEN 'inline_comment' ELSE 'ok' END AS problem FROM (SELECT trim(coalesce(unnest(commands).command, ''), ' ') AS c FROM recipes UNION ALL SELECT trim(unnest(paraphrases), ' ') FROM recipes UNION ALL SELECT trim('git ' || unnest(paraphrases), ' ') FROM recipes) WHERE c IS NOT NULL) GROUP BY 1""")
 def command_checks(spark, d):
-    """FLT-11."""
-    s = _t(spark, d, "recipes").select(F.explode("commands").alias("s"))
-    return s.groupBy(F.coalesce(cat.example_problem(F.col("s.command")), F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("steps"))
+    """FLT-11: commands, paraphrases, and paraphrases as arguments."""
+    r = _t(spark, d, "recipes")
+    s = r.select(F.explode("commands").alias("s")).select(F.coalesce("s.command", F.lit("")).alias("c"))
+    p = r.select(F.explode("paraphrases").alias("c")).filter("c is not null")
+    s = s.unionByName(p).unionByName(p.select(F.concat(F.lit("git "), "c").alias("c")))
+    return s.groupBy(F.coalesce(cat.example_problem(F.col("c")), F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("steps"))
 
 
 @query("SELECT g.report_id, g.command_id, r.title, r.taxonomy_leaf FROM golden_report g LEFT JOIN recipes r ON r.id = g.command_id")
@@ -260,10 +263,10 @@ def leaf_priority(spark, d):
     return _r6(cov.leaf_priority(leaves, cov.verb_coverage(_t(spark, d, "recipes"))))
 
 
-@query("SELECT DISTINCT taxonomy_leaf FROM documents WHERE taxonomy_leaf IS NOT NULL AND taxonomy_leaf NOT IN (SELECT taxonomy_leaf FROM recipes WHERE taxonomy_leaf IS NOT NULL)")
+@query("SELECT DISTINCT taxonomy_leaf FROM recipes WHERE taxonomy_leaf IS NOT NULL AND taxonomy_leaf NOT IN (SELECT taxonomy_leaf FROM documents WHERE taxonomy_leaf IS NOT NULL)")
 def unmapped_leaves(spark, d):
-    """JN-08, JN-09, SET-04, HLP-19."""
-    return cov.unmapped(_t(spark, d, "documents").filter("taxonomy_leaf is not null"), _t(spark, d, "recipes"), "taxonomy_leaf")
+    """JN-08, JN-09, SET-04."""
+    return cov.unmapped(_t(spark, d, "recipes").filter("taxonomy_leaf is not null"), _t(spark, d, "documents"), "taxonomy_leaf")
 
 
 @query(f"""WITH n AS (SELECT lower(trim(taxonomy_leaf)) AS node, count(*) AS times FROM (SELECT DISTINCT taxonomy_leaf FROM documents WHERE taxonomy_leaf IS NOT NULL) GROUP BY 1),
@@ -397,9 +400,14 @@ def _links(spark, d, least):
     return e, close_pairs(e, least, dim=64).select("a", "b")
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n, embedding::DOUBLE[] AS v FROM embeddings),
+  l AS MATERIALIZED (SELECT b.id, list(a.id) AS before FROM e a JOIN e b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.3 GROUP BY b.id),
+  o AS MATERIALIZED (SELECT e.id, e.n, coalesce(before, []) AS before FROM e LEFT JOIN l USING (id)),
+  w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT w.n + 1, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, id) END FROM w JOIN o ON o.n = w.n + 1),
+  k AS (SELECT kept FROM w ORDER BY n DESC LIMIT 1), m AS (SELECT CASE WHEN list_contains(kept, id) THEN id ELSE list_min(list_intersect(before, kept)) END AS leader FROM o, k)
+SELECT leader, count(*) AS members FROM m GROUP BY 1 HAVING count(*) >= 3""")
 def leader_clusters(spark, d):
-    """SIM-03, SIM-04, SIM-06 (order-dependent; no SQL)."""
+    """SIM-03, SIM-04, SIM-06."""
     e, links = _links(spark, d, 0.3)
     return sim.clusters(sim.greedy_keep(e, links))
 
