@@ -19,6 +19,7 @@ def with_block(df: DataFrame, at: str, block_ms: int = BLOCK_MS) -> DataFrame:
 def previous(df: DataFrame, key: str, order: list[str], carry: list[str], out: str = "_prev") -> DataFrame:
     """Adds the struct (order, carry) of the row before within the key, null for its first row.  Needs ``_block``, and
     ``order`` to begin with the column the block comes from."""
+    df = df.repartition(key, "_block")  # one exchange for the window, the last rows and the join
     row = F.struct(*order, *carry)
     inner = F.lag(row).over(Window.partitionBy(key, "_block").orderBy(*order))
     last = df.groupBy(key, "_block").agg(F.max(row).alias("_last"))

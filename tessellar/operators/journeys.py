@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from tessellar.config import JourneyConfig
 from tessellar.functions.instants import instant_ms
@@ -63,19 +68,36 @@ def without_bursts(events: DataFrame, cfg: JourneyConfig = JourneyConfig()) -> D
     """WIN-02: adds ``burst``: the query equals that of the last kept event of the thread, at most ``burst_ms`` before.
 
     Only rows of one query that follow each other closely can suppress each other: such chains are found by a lag, and the
-    fold that keeps a row, then the first one more than ``burst_ms`` later, runs over the sorted instants of a chain.
+    fold that keeps a row, then the first one more than ``burst_ms`` later, jumps through the sorted instants of a chain.
     """
     e = previous(with_block(events, "at_ms"), "thread_key", ORDER, ["query"])
     fresh = F.col("_prev").isNull() | (F.col("_prev.query") != F.col("query")) | (F.col("at_ms") - F.col("_prev.at_ms") > cfg.burst_ms)
-    e = running_count(e, "thread_key", ORDER, fresh, "_chain")
-    # the instants of a chain, each once: chains are short in time, so this is bounded by their span
-    chains = e.groupBy("thread_key", "_chain").agg(F.min(F.struct("at_ms", "id")).alias("_head"), F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set("at_ms")).alias("_ats"))
-    step = lambda kept, t: F.when(t > F.element_at(kept, -1) + cfg.burst_ms, F.concat(kept, F.array(t))).otherwise(kept)
-    kept = F.aggregate(F.slice("_ats", 2, 1 << 30), F.array(F.get("_ats", 0)), step)
-    chains = chains.select(F.col("thread_key").alias("_t"), F.col("_chain").alias("_c"), F.when(F.col("_n") > 1, kept).alias("_kept"))
-    first_at = F.row_number().over(Window.partitionBy("thread_key", "_chain", "at_ms").orderBy("id")) == 1
-    e = e.join(chains, (F.col("thread_key") == F.col("_t")) & (F.col("_chain") == F.col("_c")))
-    return e.withColumn("burst", F.col("_kept").isNotNull() & ~(F.array_contains("_kept", F.col("at_ms")) & first_at)).drop("_t", "_c", "_kept", "_chain", "_prev", "_block")
+    e = cut_lineage(running_count(e, "thread_key", ORDER, fresh, "_chain").drop("_prev", "_block"))
+    # only chains of several rows are folded: their instants, each once, so a chain is bounded by its span, not by its rows
+    chains = e.groupBy("thread_key", "_chain").agg(F.count(F.lit(1)).alias("_n"), F.collect_set("at_ms").alias("_ats")).filter("_n > 1")
+    chains = cut_lineage(chains.select("thread_key", "_chain", kept_instants(F.col("_ats"), F.lit(cfg.burst_ms)).alias("_kept")))
+    kept = chains.select("thread_key", "_chain", F.explode("_kept").alias("at_ms"), F.lit(True).alias("_keep"))
+    e = e.join(chains.select("thread_key", "_chain", F.lit(True).alias("_many")), ["thread_key", "_chain"], "left").join(kept, ["thread_key", "_chain", "at_ms"], "left")
+    # of rows at one kept instant the first stays
+    ids = e.filter("_keep").groupBy("thread_key", "_chain", "at_ms").agg(F.min("id").alias("_first"))
+    e = e.join(ids, ["thread_key", "_chain", "at_ms"], "left")
+    stays = F.col("_many").isNull() | (F.col("_keep") & (F.col("id") == F.col("_first")))
+    return e.withColumn("burst", ~F.coalesce(stays, F.lit(False))).drop("_many", "_keep", "_first", "_chain")
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def kept_instants(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of the instants of a chain the first, and each time the first one more than the window behind the last one kept."""
+    for ats, window in batches:
+        out = []
+        for a, w in zip(ats, window, strict=True):
+            t = np.sort(np.asarray(a, dtype=np.int64))
+            kept, i = [], 0
+            while i < len(t):
+                kept.append(t[i])
+                i = int(np.searchsorted(t, t[i] + w, "right"))
+            out.append(kept)
+        yield pd.Series(out, dtype=object)
 
 
 def version_votes(events: DataFrame) -> DataFrame:

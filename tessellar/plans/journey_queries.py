@@ -32,7 +32,7 @@ def event_version_votes(spark: SparkSession, d: str) -> DataFrame:
 
 def burst_dedup(spark: SparkSession, d: str) -> DataFrame:
     """WIN-02."""
-    return without_bursts(judged(normalised(_ev(spark, d))).filter("reason is null")).filter("burst").select("id", "thread_key", "at_ms")
+    return without_bursts(cut_lineage(judged(normalised(_ev(spark, d))).filter("reason is null"))).filter("burst").select("id", "thread_key", "at_ms")
 
 
 def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
