@@ -75,3 +75,57 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def near_text(a: str | None, b: str | None) -> bool:
+    """SIM-01 for one pair: equal, contained, half of the tokens shared, or short and a third of the characters edited at most."""
+    x, y = (a or "").lower().strip(" "), (b or "").lower().strip(" ")
+    if not x or not y:
+        return False
+    if x == y or x in y or y in x:
+        return True
+    p, q = set(x.split()), set(y.split())
+    if len(p & q) >= 0.5 * len(p | q):
+        return True
+    longest = max(len(x), len(y))
+    if longest > 64:
+        return False
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        new = [i]
+        for j, e in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return row[-1] <= 0.35 * longest
+
+
+class SoftThreads(StatefulProcessor):
+    """STM-03: per thread the last query, its time and the running segment; a new segment begins where neither rule joins."""
+
+    def __init__(self, gap_ms: int, soft_gap_ms: int):
+        self.gap_ms, self.soft_gap_ms = gap_ms, soft_gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "query string, at_ms bigint, segment bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["at_ms", "id"])
+        query, at, segment = self.last.get() if self.last.exists() else (None, None, 0)
+        out = []
+        for r in batch.itertuples(index=False):
+            dt = None if at is None else int(r.at_ms) - at
+            if dt is None or not (dt <= self.gap_ms or dt <= self.soft_gap_ms and near_text(query, r.query)):
+                segment += 1
+            query, at = r.query, int(r.at_ms)
+            out.append((key[0], r.id, at, segment))
+        self.last.update((query, at, segment))
+        yield pd.DataFrame(out, columns=["thread_key", "id", "at_ms", "segment"])
+
+    def close(self) -> None:
+        pass
+
+
+def soft_threads(events: DataFrame, gap_ms: int = 45_000, soft_gap_ms: int = 90_000) -> DataFrame:
+    """STM-03: ``events`` (thread_key, id, query, at_ms) with ``segment``; rows of a thread must not arrive before earlier ones
+    of another batch.  Needs the RocksDB state store."""
+    return events.groupBy("thread_key").transformWithStateInPandas(SoftThreads(gap_ms, soft_gap_ms), outputStructType="thread_key string, id string, at_ms bigint, segment bigint", outputMode="append", timeMode="None")
