@@ -1,4 +1,4 @@
-"""Coverage of verbs and leaves by a catalog (AGG-04..10, JN-08..12, WIN-12)."""
+"""Coverage of verbs and leaves by a catalog (AGG-04..09, JN-09, JN-10, JN-12, WIN-12)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Measuring retrieval: hits, strata, gates, votes, percentiles, streaks (AGG-11..20, JN-04..06, WIN-10/11, SET-01)."""
+"""Measuring retrieval: hits, strata, gates, votes, percentiles, streaks (AGG-11..15, AGG-25, JN-04, JN-05, WIN-10, WIN-11, SET-01)."""
 
 from __future__ import annotations
 

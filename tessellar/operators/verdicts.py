@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,3 +197,22 @@ def skill_profile(query: Column, verbs: Column, soft: list[str]) -> Column:
     level = F.when(q.rlike(r"(?:^|\s)--?[A-Za-z]"), "expert").when(F.arrays_overlap(tokens, verbs), "intermediate").when(F.arrays_overlap(tokens, F.array(*[F.lit(s) for s in soft])), "beginner").when(known, "intermediate").otherwise("nontechnical")
     alpha = F.when(level.isin("nontechnical", "beginner"), 0.7).otherwise(0.3)
     return F.struct(level.alias("level"), alpha.alias("alpha"), (1 - alpha).alias("beta"))
+
+
+def run_suite(cases: DataFrame, search: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame] = grade) -> DataFrame:
+    """UDF-04: cases through an injected search (cases -> cases with what was found) and an injected judge (-> score, passed)."""
+    return suite(judge(search(cases)))
+
+
+def picked_intent(hits: DataFrame) -> DataFrame:
+    """HLP-06: of the hits of a query with one recipe (``recipe_id``, else ``command_id``, else ``id``) the most similar; the
+    similarity is ``forced``, else ``score``, else 0; hits without any id are left out."""
+    who = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("recipe_id", "command_id", "id")])
+    h = hits.withColumn("_who", who).filter("_who is not null").withColumn("_cos", F.coalesce("forced", "score", F.lit(0.0)))
+    best = h.groupBy("query_id", F.col("_who").alias("recipe")).agg(F.min(F.struct((-F.col("_cos")).alias("d"), "text")).alias("_b"))
+    return best.select("query_id", "recipe", F.col("_b.text").alias("text"), (-F.col("_b.d")).alias("cosine"))
+
+
+def slim_results(rows: DataFrame, shown: str, most: int = 3) -> DataFrame:
+    """HLP-10, HLP-26: a result as it is logged: id, verdict, and the ids of the first displayed hits."""
+    return rows.select("query_id", F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("via", F.lit("miss")).alias("via"), F.slice(F.coalesce(F.col(shown), F.array().cast("array<string>")), 1, most).alias("displayed"))

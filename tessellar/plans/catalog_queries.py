@@ -105,7 +105,7 @@ def semver_order(spark, d):
   f AS (SELECT id, unnest(list_transform(list_filter(w[3:], lambda t: regexp_matches(t, '^--|^-[a-zA-Z]')), lambda t: CASE WHEN starts_with(t, '--') THEN regexp_replace(t, '=.*$', '') ELSE t END)) AS flag, CASE WHEN len(w) >= 2 AND w[1] = 'git' THEN 'git ' || w[2] ELSE '' END AS verb FROM w)
 SELECT verb, flag, count(DISTINCT id) AS recipes FROM f GROUP BY 1, 2""")
 def flags_by_verb(spark, d):
-    """STR-06..08, FLT-14."""
+    """STR-07, STR-08."""
     s = _t(spark, d, "recipes").select("id", F.explode("commands").alias("s")).select("id", C.verb(F.col("s.command")).alias("verb"), F.explode(C.flags(F.col("s.command"))).alias("flag"))
     return s.groupBy("verb", "flag").agg(F.count_distinct("id").alias("recipes"))
 
@@ -225,7 +225,7 @@ _V = r"CASE WHEN regexp_matches({0}, '^\s*git\s+\S') THEN 'git ' || regexp_extra
 
 @query(f"SELECT DISTINCT v AS verb FROM (SELECT {_V.format('c')} AS v FROM (SELECT unnest(commands).command AS c FROM recipes)) WHERE v <> ''")
 def verb_vocabulary(spark, d):
-    """AGG-24, JSN-01."""
+    """AGG-24: verbs."""
     return cat.verbs_of(_t(spark, d, "recipes"))
 
 
@@ -380,7 +380,7 @@ def streaks(spark, d):
 
 @query("SELECT id, query FROM queries UNION ALL SELECT min(report_id), query_text FROM golden_report WHERE query_text IS NOT NULL AND query_text NOT IN (SELECT query FROM queries WHERE query IS NOT NULL) GROUP BY query_text")
 def append_unique_rows(spark, d):
-    """WIN-11, SNK-13."""
+    """WIN-11."""
     new = _t(spark, d, "golden_report").filter("query_text is not null").select(F.col("report_id").alias("id"), F.col("query_text").alias("query"))
     return ev.append_unique(_t(spark, d, "queries").select("id", "query"), new, ["query"])
 
@@ -455,7 +455,7 @@ def collect_leaves(spark, d):
 
 @query(f"WITH n AS ({_NODES}) SELECT id, name FROM n WHERE id NOT IN ('r1', 'n3') AND coalesce(parent_id, '') NOT IN ('r1', 'n3') AND coalesce(parent_id, '') NOT IN (SELECT id FROM n WHERE parent_id = 'r1')")
 def prune_subtrees(spark, d):
-    """SET-07, JN-10."""
+    """SET-07: prune."""
     n = _nodes(spark, d)
     return tax.without_subtrees(n, n.filter("id in ('r1', 'n3')").select("id")).select("id", "name")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.config import SearchConfig
@@ -14,6 +15,20 @@ from tessellar.operators.fulltext import bm25, build_index, embed_text, recipe_b
 from tessellar.operators.ranking import collapse_channels, diversify, fuse, gate, head_scores, named_verbs, ranked, verb_boost
 from tessellar.operators.vectors import embed, knn
 from tessellar.session import cut_lineage
+from tessellar.sources.writers import checksum, put_meta, read_meta, require_version, verify
+
+#: Layout of saved catalogs; another one is refused.
+LAYOUT = "1"
+
+
+@dataclass(frozen=True)
+class Ports:
+    """UDF-01, UDF-02: what a search is made of: ``embed`` (text -> vector), ``by_vector`` (queries (query_id, embedding), vectors
+    (id, embedding), k -> query_id, doc_id, cosine), ``by_text`` (queries, postings, sizes -> query_id, doc_id, bm25)."""
+
+    embed: Callable[[Column], Column] = embed
+    by_vector: Callable[[DataFrame, DataFrame, int], DataFrame] = knn
+    by_text: Callable[..., DataFrame] = bm25
 
 
 @dataclass
@@ -27,6 +42,27 @@ class Catalog:
     verbs: DataFrame
 
 
+def save_catalog(catalog: Catalog, folder: str) -> None:
+    """SNK-05, SNK-12: the index tables as Parquet below a folder, with their checksums and layout, to be searched again and again."""
+    spark = catalog.recipes.sparkSession
+    meta: dict[str, str | None] = {"layout": LAYOUT}
+    for f in fields(catalog):
+        getattr(catalog, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
+        meta[f"checksum.{f.name}"] = checksum(spark.read.parquet(f"{folder}/{f.name}"))
+    put_meta(spark, f"{folder}/meta", meta)
+
+
+def load_catalog(spark: SparkSession, folder: str, strict: bool = False) -> Catalog:
+    """HLP-04, HLP-01: a saved catalog.  The layout must fit; ``strict`` also demands every checksum."""
+    meta = read_meta(spark, f"{folder}/meta")
+    require_version(meta, "layout", LAYOUT)
+    tables = {f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Catalog)}
+    for name, df in tables.items() if strict else ():
+        if (found := verify(df, meta.get(f"checksum.{name}"))) != "ok":
+            raise ValueError(f"{name}: {found}")
+    return Catalog(**tables)
+
+
 def open_catalog(recipes: DataFrame, vectors: DataFrame | None = None) -> Catalog:
     """SNK-05: derives the index tables of a recipe table.  ``vectors`` (id, embedding) default to the offline embedder's."""
     empty = F.array().cast("array<string>")
@@ -48,15 +84,15 @@ def open_catalog(recipes: DataFrame, vectors: DataFrame | None = None) -> Catalo
     return Catalog(derived, postings, sizes, vectors, verbs)
 
 
-def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = SearchConfig(), query_vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = SearchConfig(), query_vectors: DataFrame | None = None, ports: Ports = Ports()) -> tuple[DataFrame, DataFrame]:
     """``queries`` (query_id, query) -> (results: a row per query and hit, in rank order; gates: a row per query).
 
     A query without any hit has no result row and a gate with status 'empty' and alert 'red'.
     """
     q = queries.select("query_id", collapse_space(F.coalesce("query", F.lit(""))).alias("query"))
-    qv = q.filter("query <> ''").select("query_id", embed(F.col("query")).alias("embedding")) if query_vectors is None else query_vectors
-    by_vector = knn(qv, catalog.vectors, cfg.recall_k).join(catalog.recipes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("id"), "cosine")
-    by_text = top(bm25(q, catalog.postings, catalog.sizes, compat=cfg.compat_terms), ["query_id"], [F.asc("bm25"), F.asc("doc_id")], cfg.recall_k).select("query_id", F.col("doc_id").alias("id"), "bm25")
+    qv = q.filter("query <> ''").select("query_id", ports.embed(F.col("query")).alias("embedding")) if query_vectors is None else query_vectors
+    by_vector = ports.by_vector(qv, catalog.vectors, cfg.recall_k).join(catalog.recipes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("id"), "cosine")
+    by_text = top(ports.by_text(q, catalog.postings, catalog.sizes, compat=cfg.compat_terms), ["query_id"], [F.asc("bm25"), F.asc("doc_id")], cfg.recall_k).select("query_id", F.col("doc_id").alias("id"), "bm25")
     hits = fuse(collapse_channels(by_vector, by_text), cfg)
     words = q.withColumn("tokens", query_tokens(F.col("query")))
     words = cut_lineage(named_verbs(words, catalog.verbs).select("query_id", "tokens", "named"))
@@ -86,3 +122,10 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
 def displayed(results: DataFrame, gates: DataFrame) -> DataFrame:
     """The rows shown per query: diverse, and as many as the gate lets through."""
     return diversify(results).join(gates.select("query_id", "display_count"), "query_id").filter("display_rank <= display_count").drop("display_count")
+
+
+def search(text: str, catalog: Catalog, cfg: SearchConfig = SearchConfig(), ports: Ports = Ports()) -> tuple[DataFrame, DataFrame]:
+    """HLP-05: one query: (rows to show, gate)."""
+    spark = catalog.recipes.sparkSession
+    results, gates = hybrid_search(spark.createDataFrame([("q", text)], "query_id string, query string"), catalog, cfg, ports=ports)
+    return displayed(results, gates), gates

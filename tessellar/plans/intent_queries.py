@@ -166,7 +166,7 @@ def stable_ids(spark, d):
 
 @query("SELECT count(*) FILTER (kind = 'golden') AS golden, count(*) FILTER (mutation_kind = 'composition') AS compositions, count(*) >= 150 AND count(*) FILTER (mutation_kind = 'composition') >= 30 AS ok FROM golden_report")
 def bank_floors(spark, d):
-    """AGG-20, FLT-10."""
+    """AGG-20."""
     g = _t(spark, d, "golden_report")
     n = F.count_if(F.col("mutation_kind") == "composition")
     return g.agg(F.count_if(F.col("kind") == "golden").alias("golden"), n.alias("compositions"), ((F.count(F.lit(1)) >= 150) & (n >= 30)).alias("ok"))

@@ -180,6 +180,32 @@ def help_flags(spark, d):
     return _t(spark, d, "recipes").filter("id is not null").select(F.explode(C.flags_from_help(text)).alias("f")).filter("f rlike '^--'").select(F.substring("f", 3, 100).alias("flag")).distinct()
 
 
+@query("SELECT canonical, 'file' AS source FROM (VALUES ('stash'), ('log')) AS t(canonical) UNION ALL SELECT 'reset', 'fallback'")
+def dimension_files(spark, d):
+    """HLP-14."""
+    base = scratch(spark)
+    spark.createDataFrame([("\ufeff" + '[{"canonical":"stash"},{"canonical":"log"}]',)], "value string").coalesce(1).write.text(f"{base}/families")
+    here = R.read_dimension(spark, f"{base}/families", "canonical string")
+    gone = R.read_dimension(spark, f"{base}/none", "canonical string", [("reset",)])
+    return here.withColumn("source", F.lit("file")).unionByName(gone.withColumn("source", F.lit("fallback")))
+
+
+@query("SELECT 'parquet' AS kind, count(*) AS \"rows\" FROM recipes UNION ALL SELECT 'view', count(*) FROM queries")
+def adapter_tables(spark, d):
+    """UDF-03: two adapters."""
+    name = f"v{uuid.uuid4().hex}"
+    _t(spark, d, "queries").createOrReplaceTempView(f"{name}_queries")
+    try:
+        tables = {"parquet": R.open_table(spark, "parquet", d, "recipes"), "view": R.open_table(spark, "view", name, "queries")}
+    finally:
+        spark.catalog.dropTempView(f"{name}_queries")
+    out = None
+    for kind, df in tables.items():
+        n = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("kind"), "rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 
 

@@ -217,3 +217,26 @@ def skill_profiles(spark, d):
     v = V.verb_lookup(_t(spark, d, "recipes")).agg(F.collect_set(F.lower(F.substring("verb", 5, 1000))).alias("vs")).withColumn("_one", F.lit(1))
     q = _t(spark, d, "golden_report").select("report_id", "query_text").withColumn("_one", F.lit(1)).join(v, "_one")
     return q.select("report_id", V.skill_profile(F.col("query_text"), F.col("vs"), SOFT).alias("p")).select("report_id", "p.level", F.round("p.alpha", 6).alias("alpha"))
+
+
+@query(f"WITH {_GRADED} SELECT count(*) AS cases, count(*) FILTER (kind = 'golden' AND aid <> '' AND aid = command_id) AS passed FROM s")
+def injected_suite(spark, d):
+    """UDF-04: a search that gives the recipe alone, and a judge that looks at ids only."""
+    judge = lambda c: c.withColumn("passed", F.coalesce(F.array_contains("expected_ids", F.col("actual_id")), F.lit(False))).withColumn("score", F.when(F.col("passed"), 5).otherwise(1))
+    return V.run_suite(_cases(spark, d), lambda c: c.withColumn("actual_command", F.lit("")), judge).select("cases", "passed")
+
+
+@query("""WITH h AS (SELECT coalesce(primary_verb, '?') AS query_id, coalesce(nullif(trim(command_id, ' '), ''), nullif(trim(report_id, ' '), '')) AS recipe, query_text AS t, CASE WHEN kind = 'golden' THEN 0.9 ELSE 0 END AS c FROM golden_report)
+SELECT query_id, recipe, arg_min(coalesce(t, ''), {'d': -c, 't': coalesce(t, '')}) AS text, round(max(c), 6)::DOUBLE AS cosine FROM h WHERE recipe IS NOT NULL GROUP BY 1, 2""")
+def picked_intents(spark, d):
+    """HLP-06: bank records as hits of their verb."""
+    g = _t(spark, d, "golden_report")
+    h = g.select(F.coalesce("primary_verb", F.lit("?")).alias("query_id"), F.lit(None).cast("string").alias("recipe_id"), "command_id", F.col("report_id").alias("id"), F.coalesce("query_text", F.lit("")).alias("text"), F.lit(None).cast("double").alias("forced"), F.when(F.col("kind") == "golden", F.lit(0.9)).alias("score"))
+    return V.picked_intent(h).select("query_id", "recipe", "text", F.round("cosine", 6).alias("cosine"))
+
+
+@query("SELECT delivery_id AS query_id, coalesce(data.response.displaycount > 0, false) AS passed, coalesce(data.response.status, 'miss') AS via, array_to_string(list_transform(coalesce(data.response.results, []), lambda r: r.command_id)[1:3], '|') AS displayed FROM observe_events")
+def slim_results(spark, d):
+    """HLP-10, HLP-26."""
+    e = _t(spark, d, "observe_events").select(F.col("delivery_id").alias("query_id"), (F.col("data.response.displaycount") > 0).alias("passed"), F.col("data.response.status").alias("via"), F.transform("data.response.results", lambda r: r["command_id"]).alias("shown"))
+    return V.slim_results(e, "shown").withColumn("displayed", F.array_join("displayed", "|"))

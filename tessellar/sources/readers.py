@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,3 +81,32 @@ def decode_vectors(df: DataFrame, blob: str, dim: int, out: str = "embedding") -
 
     keep = [f for f in df.schema.fields if f.name != blob]
     return df.mapInPandas(run, StructType(keep).add(out, ArrayType(FloatType())))
+
+
+def read_dimension(spark: SparkSession, path: str, schema: str, fallback: list[tuple] | None = None) -> DataFrame:
+    """HLP-14: a small table kept as one JSON array in a file, with or without a byte-order mark; ``fallback`` rows, or none,
+    where there is no file or nothing in it."""
+    given = spark.createDataFrame(fallback or [], schema)
+    try:
+        text = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return given
+        raise
+    rows = text.select(F.explode(F.from_json(F.regexp_replace("value", "^\ufeff", ""), f"array<struct<{','.join(x.strip().replace(' ', ':', 1) for x in schema.split(', '))}>>")).alias("r")).select("r.*")
+    return given if rows.isEmpty() else rows
+
+
+#: UDF-03: ways to open a table by name; an adapter takes (session, place, name).
+ADAPTERS: dict[str, Callable[[SparkSession, str, str], DataFrame]] = {
+    "parquet": read_table,
+    "view": lambda spark, place, name: spark.table(f"{place}_{name}" if place else name),
+    "jsonl": lambda spark, place, name: spark.read.json(f"{place}/{name}.jsonl"),
+}
+
+
+def open_table(spark: SparkSession, kind: str, place: str, name: str) -> DataFrame:
+    """UDF-03: a table through the adapter of its kind."""
+    if kind not in ADAPTERS:
+        raise ValueError(f"no adapter {kind!r}: there are {sorted(ADAPTERS)}")
+    return ADAPTERS[kind](spark, place, name)
