@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.operators.blocks import running_count, with_block
+
 SLACK = 1e-9
 
 
@@ -65,12 +67,16 @@ def summary(rows: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def streaks(rows: DataFrame, key: str, order: list[str], flag: str) -> DataFrame:
-    """WIN-10: runs of consecutive rows with the flag: key, run number, length."""
-    w = Window.partitionBy(key).orderBy(*order)
-    n = rows.withColumn("_i", F.row_number().over(w)).filter(flag)
-    island = n.withColumn("_g", F.col("_i") - F.row_number().over(w))
-    runs = island.groupBy(key, "_g").agg(F.count(F.lit(1)).alias("length"), F.min("_i").alias("first_row"))
-    return runs.select(key, "first_row", "length")
+    """WIN-10: runs of consecutive rows with the flag: key, first row number, length.
+
+    ``order`` begins with a timestamp, or milliseconds; rows without it or the key are left out.  Rows are counted per block
+    of time, so a key with a third of all rows is spread over its blocks.
+    """
+    at = F.unix_millis(F.col(order[0]).cast("timestamp")) if rows.schema[order[0]].dataType.typeName().startswith("timestamp") else F.col(order[0])
+    e = with_block(rows.withColumn("_at", at).filter(F.col("_at").isNotNull() & F.col(key).isNotNull()), "_at")
+    e = running_count(e, key, order, F.lit(True), "_i")
+    e = running_count(e, key, order, F.coalesce(F.col(flag), F.lit(False)), "_c")
+    return e.filter(flag).groupBy(key, (F.col("_i") - F.col("_c")).alias("_g")).agg(F.count(F.lit(1)).alias("length"), F.min("_i").alias("first_row")).select(key, "first_row", "length")
 
 
 def append_unique(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,6 +60,18 @@ def greedy_keep(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("id", kept.alias("kept"), F.when(kept, F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 
+def novel(batch: DataFrame, existing: DataFrame, links: DataFrame) -> DataFrame:
+    """SIM-07: of a ``batch`` (id) against ``existing`` (id), by ``links`` (a, b) among both: ``id``, ``near``: 'existing' if linked to
+    an existing row, 'batch' if to an earlier row of the batch that stays, null if it stays."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    old = both.join(existing.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+    rest = cut_lineage(batch.select("id").join(old, "id", "left_anti"))
+    inner = links.join(rest.select(F.col("id").alias("a")), "a", "left_semi").join(rest.select(F.col("id").alias("b")), "b", "left_semi")
+    kept = greedy_keep(rest, inner)
+    seen = batch.select("id").join(old, "id", "left_semi").select("id", F.lit("existing").alias("near"))
+    return kept.select("id", F.when(~F.col("kept"), "batch").alias("near")).unionByName(seen)
+
+
 def clusters(assigned: DataFrame, least: int = 3) -> DataFrame:
     """SIM-06: leaders with at least ``least`` members, themselves included."""
     return assigned.groupBy("leader").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= least)

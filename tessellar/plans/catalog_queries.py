@@ -412,6 +412,19 @@ def leader_clusters(spark, d):
     return sim.clusters(sim.greedy_keep(e, links))
 
 
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),
+  s AS MATERIALIZED (SELECT DISTINCT e.id FROM e JOIN embeddings x ON x.vec_id % 2 = 0 AND list_cosine_similarity(e.v, x.embedding::DOUBLE[]) >= 0.3),
+  l AS MATERIALIZED (SELECT b.id, list(a.id) AS before FROM e a JOIN e b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.3 GROUP BY b.id),
+  o AS MATERIALIZED (SELECT e.id, e.n, coalesce(before, []) AS before, s.id IS NOT NULL AS old FROM e LEFT JOIN l USING (id) LEFT JOIN s USING (id)),
+  w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT w.n + 1, CASE WHEN old OR list_has_any(kept, before) THEN kept ELSE list_append(kept, id) END FROM w JOIN o ON o.n = w.n + 1),
+  k AS (SELECT kept FROM w ORDER BY n DESC LIMIT 1)
+SELECT id, CASE WHEN old THEN 'existing' WHEN NOT list_contains(kept, id) THEN 'batch' END AS near FROM o, k""")
+def novel_vectors(spark, d):
+    """SIM-07: odd vectors as a batch against even ones."""
+    e, links = _links(spark, d, 0.3)
+    return sim.novel(e.filter("id % 2 = 1"), e.filter("id % 2 = 0"), links)
+
+
 _TK = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) >= 3))"
 
 
