@@ -365,12 +365,12 @@ def loose_json(spark, d):
     return r.select(F.from_json("j", "id string, tags array<string>").alias("v")).select("v.id", F.size("v.tags").alias("tags"))
 
 
-@query("""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(q.embedding, v.embedding) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, arg_max(doc_id, c) AS nearest, round(max(c), 5) AS cosine FROM h WHERE c >= 0.3 GROUP BY 1""")
+@query("""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, arg_max(doc_id, c) AS nearest, round(max(c), 6) AS cosine FROM h WHERE c >= 0.3 GROUP BY 1""")
 def nearest_above(spark, d):
     """SIM-03: the closest other vector at or above a threshold, of every twentieth vector against all."""
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     h = knn(e.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), e, 2, dim=64).filter("query_id <> doc_id and cosine >= 0.3")
-    return h.groupBy("query_id").agg(F.max_by("doc_id", "cosine").alias("nearest"), F.round(F.max("cosine"), 5).alias("cosine"))
+    return h.groupBy("query_id").agg(F.max_by("doc_id", "cosine").alias("nearest"), F.round(F.max("cosine"), 6).alias("cosine"))
 
 
