@@ -19,6 +19,11 @@ def trimmed(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE))
 
 
+def trimmed_wide(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def collapse_space(c: Column) -> Column:
     """STR-01: trimmed, white space runs as one blank."""
     return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))

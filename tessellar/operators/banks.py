@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.functions import commands as C
-from tessellar.functions.text import is_command_like, is_fallback_question, plain_query, straight_quotes
+from tessellar.functions.text import is_command_like, is_fallback_question, plain_query, straight_quotes, trimmed_wide
 from tessellar.operators.blocks import previous, with_block
 from tessellar.operators.similarity import token_links
 from tessellar.operators.taxonomy import without_subtrees
@@ -71,7 +71,7 @@ def evaluation_intents(intents: DataFrame, recipes: DataFrame) -> DataFrame:
     left out; an intent without a command of its own takes the first two words of the recipe's."""
     first = straight_quotes(C.primary_command(F.col("commands")))
     r = recipes.select(F.col("id").alias("recipe_id"), first.alias("example"), F.coalesce("taxonomy_leaf", F.lit("git")).alias("topic"))
-    j = intents.select("intent_id", F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("text"), "recipe_id").filter(F.coalesce("text", F.lit("")) != "").filter(~is_command_like(F.col("text"))).join(r, "recipe_id")
+    j = intents.select("intent_id", trimmed_wide(F.col("text")).alias("text"), "recipe_id").filter(F.coalesce("text", F.lit("")) != "").filter(~is_command_like(F.col("text"))).join(r, "recipe_id")
     j = j.filter((F.col("example") == "") | (F.lower(straight_quotes(F.col("text"))) != F.lower("example")))
     return j.select("intent_id", "text", "recipe_id", "example", F.array_join(F.slice(F.split("example", r"\s+"), 1, 2), " ").alias("command"), "topic")
 

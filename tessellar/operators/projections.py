@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tessellar.functions import commands as C
-from tessellar.functions.text import straight_quotes
+from tessellar.functions.text import straight_quotes, trimmed_wide
 
 
 
@@ -56,7 +56,7 @@ def for_tag(site: DataFrame, tag: str) -> DataFrame:
 
 def usage_parts(usage: Column, example: Column) -> Column:
     """STR-14: (line, blurb) of a usage text: its first of several lines, or a line that starts with git, else the example."""
-    lines = F.filter(F.transform(F.split(F.trim(F.coalesce(usage, F.lit(""))), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(usage, F.lit("")), "\n"), trimmed_wide), lambda x: x != "")
     fallback = F.coalesce(example, F.lit(""))
     first = F.coalesce(F.get(lines, 0), F.lit(""))
     own = (F.size(lines) >= 2) | first.rlike(r"^git(\s|$)")

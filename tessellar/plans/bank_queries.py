@@ -78,7 +78,7 @@ def recipe_cards(spark, d):
 
 
 @query(r"""WITH r AS (SELECT id, coalesce(commands[1].command, '') AS ex, array_to_string(list_filter(coalesce(paraphrases, []), lambda x: x IS NOT NULL), chr(10)) AS u FROM recipes),
-  l AS (SELECT *, list_filter(list_transform(string_split(trim(u), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM r),
+  l AS (SELECT *, list_filter(list_transform(string_split(u, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS ls FROM r),
   o AS (SELECT *, len(ls) >= 2 OR regexp_matches(coalesce(ls[1], ''), '^git(\s|$)') AS own FROM l)
 SELECT id, CASE WHEN own THEN ls[1] ELSE ex END AS line, CASE WHEN len(ls) >= 2 THEN array_to_string(ls[2:], ' ') WHEN own THEN '' ELSE coalesce(ls[1], '') END AS blurb FROM o""")
 def usage_lines(spark, d):

@@ -111,11 +111,11 @@ def metadata_round_trip(spark, d):
     return spark.createDataFrame(sorted(meta.items()), "key string, value string")
 
 
-@query(r"SELECT lower(taxonomy_leaf) AS doc_leaf, regexp_extract(commands[1].command, '^git\s+([a-z][a-z0-9._-]*)', 1) AS name, count(*) AS times FROM recipes WHERE taxonomy_leaf IS NOT NULL AND regexp_matches(coalesce(commands[1].command, ''), '^git\s+[a-z][a-z0-9._-]*(\s|$)') GROUP BY 1, 2")
+@query(r"SELECT lower(trim(taxonomy_leaf)) AS doc_leaf, regexp_extract(commands[1].command, '^git\s+([a-z][a-z0-9._-]*)', 1) AS name, count(*) AS times FROM recipes WHERE taxonomy_leaf IS NOT NULL AND regexp_matches(coalesce(commands[1].command, ''), '^git\s+[a-z][a-z0-9._-]*(\s|$)') GROUP BY 1, 2")
 def help_listings(spark, d):
     """SRC-10: a listing per recipe with a head, an unknown section, a known one and a tail; only the known one's row counts."""
     path = f"{scratch(spark)}/help"
-    r = _t(spark, d, "recipes").filter("taxonomy_leaf is not null").select(F.lower("taxonomy_leaf").alias("leaf"), "id", F.regexp_extract(C.primary_command(F.col("commands")), r"^git\s+([a-z][a-z0-9._-]*)(?:\s|$)", 1).alias("name")).filter("name <> ''")
+    r = _t(spark, d, "recipes").filter("taxonomy_leaf is not null").select(F.lower(F.trim("taxonomy_leaf")).alias("leaf"), "id", F.regexp_extract(C.primary_command(F.col("commands")), r"^git\s+([a-z][a-z0-9._-]*)(?:\s|$)", 1).alias("name")).filter("name <> ''")
     listing = F.concat_ws("\n", F.lit("usage: tool"), F.lit("   early      before any section"), F.lit(SECTIONS[0]), F.concat(F.lit("   "), "name", F.lit("      leaf "), "leaf"), F.lit(""), F.lit("Interacting with Others"), F.lit("   late       behind the stop line"))
     lines = r.select(F.col("id").alias("doc"), F.posexplode(F.split(listing, "\n")).alias("line_no", "line"))
     lines.write.parquet(path)
@@ -234,9 +234,9 @@ def stream_once(spark, d):
     return spark.read.parquet(f"{base}/out").select("event_id")
 
 
-@query(f"""WITH {_FIRST_SQL}, e AS (SELECT thread_key, ms FROM raw WHERE thread_key IS NOT NULL AND ms IS NOT NULL),
-  f AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY thread_key ORDER BY ms) <= 45000 THEN 0 ELSE 1 END AS fresh FROM e),
-  s AS (SELECT *, sum(fresh) OVER (PARTITION BY thread_key ORDER BY ms ROWS UNBOUNDED PRECEDING) AS n FROM f)
+@query(f"""WITH {_FIRST_SQL}, e AS (SELECT thread_key, ms, delivery_id AS k FROM raw WHERE thread_key IS NOT NULL AND ms IS NOT NULL),
+  f AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY thread_key ORDER BY ms, k) <= 45000 THEN 0 ELSE 1 END AS fresh FROM e),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY thread_key ORDER BY ms, k ROWS UNBOUNDED PRECEDING) AS n FROM f)
 SELECT thread_key, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS event_count FROM s GROUP BY thread_key, n""")
 def stream_sessions(spark, d):
     """STM-03, the hard gap: deliveries as a stream, sessions as they stand at its end."""
