@@ -26,11 +26,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; make one only where none is set (local tests)."""
+    """Use the folder named by ``spark.checkpoint.dir``; make one only where none is set, and only on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellar-ckpt-"))
 
 
