@@ -87,9 +87,12 @@ def merge_groups(recipes: DataFrame, keys: list[str], ratio: float = 1.2) -> Dat
     """
     r = recipes.withColumn("_order", F.struct((-keeper_score()).alias("s"), F.col("id").alias("i"))).withColumn("_desc", F.trim(F.coalesce("description", F.lit("")))).withColumn("_title", F.trim(F.coalesce("title", F.lit(""))))
     heads = r.groupBy(*keys).agg(F.min(F.struct("_order", "_desc", "_title")).alias("_head"), F.count(F.lit(1)).alias("records"))
-    w = Window.partitionBy(*keys).orderBy("_order")
-    longest = F.max(F.length("_desc")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    records = r.withColumn("_longest", longest).filter("_longest is null or length(_desc) > _longest").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_order", F.col("_desc").alias("d")))).alias("_records"))
+    # of each length the first row; it is longer than all before it if every longer row comes later.  The window sees a
+    # group's distinct lengths, not its rows
+    lengths = r.groupBy(*keys, F.length("_desc").alias("_len")).agg(F.min(F.struct("_order", "_desc")).alias("_m"))
+    longer = F.min("_m._order").over(Window.partitionBy(*keys).orderBy(F.desc("_len")).rowsBetween(Window.unboundedPreceding, -1))
+    kept = lengths.withColumn("_longer", longer).filter(F.col("_longer").isNull() | (F.col("_m._order") < F.col("_longer")))
+    records = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_m._order").alias("_order"), F.col("_m._desc").alias("d")))).alias("_records"))
     take = lambda cur, x: F.when(F.length(x["d"]) > F.length(cur) * ratio, x["d"]).otherwise(cur)
     folded = records.select(*keys, F.aggregate(F.slice("_records", 2, 1 << 30), F.get("_records", 0)["d"], take).alias("description"))
     strings = lambda c: F.coalesce(F.col(c), F.array().cast(EMPTY))
