@@ -79,13 +79,14 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     base = cut_lineage(base.withColumn("digest", set_digest(F.col("words"))))
     # first() of the words: all members of a digest have the same set
     classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("words").alias("words")).withColumn("n", F.size("words"))
-    classes = cut_lineage(classes.withColumn("sketch", F.slice(F.sort_array(F.array_distinct(word_hashes(F.col("words")))), 1, k)))
+    classes = cut_lineage(classes)
+    sketch = F.slice(F.sort_array(F.array_distinct(word_hashes(F.col("words")))), 1, k)
     members = base.select("id", "digest").join(classes.select("digest", "class_id"), "digest").select("id", "class_id").distinct()
 
     counts = cell_counts(classes, word_hashes(F.col("words")))
     up = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
-    n, size = F.col("n"), F.size("sketch")
-    ordered = cut_lineage(rarest_first(classes.select("class_id", "n", "sketch"), "sketch", counts, "kept").select("class_id", "n", "kept"))
+    n = F.col("n")
+    ordered = cut_lineage(rarest_first(classes.select("class_id", "n", sketch.alias("sketch")), "sketch", counts, "kept").select("class_id", "n", "kept"))
     # least of the values shared with any larger (listed) or smaller (looked up) partner; ``part``: a partner above k words
     in_part = F.greatest(least_shared(F.lit(k), n / F.lit(t), t, delta), up(n + k - n / F.lit(t)))
     listed = F.array(
@@ -101,7 +102,7 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     once = (F.struct("nx", "x") < F.struct("ny", "y")) & (F.col("nx") >= F.ceil(F.lit(t) * F.col("ny") - F.lit(1e-9)))
     met = lists.join(looks, ["value", "part", "salt"]).filter(once).select("x", "y", "nx", "ny").distinct()
 
-    sk = classes.select("class_id", "sketch")
+    sk = ordered.select("class_id", F.sort_array("kept").alias("sketch"))
     both = met.join(sk.select(F.col("class_id").alias("x"), F.col("sketch").alias("sx")), "x").join(sk.select(F.col("class_id").alias("y"), F.col("sketch").alias("sy")), "y")
     # the union sketch ends where the first of the two sketches ends
     end = F.least(F.when(F.col("nx") > k, F.element_at("sx", -1)), F.when(F.col("ny") > k, F.element_at("sy", -1)))
