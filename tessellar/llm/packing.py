@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -36,15 +38,20 @@ FULL = 0.995
 _ENCODERS: dict = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a vocabulary file, one per worker process."""
-    if path not in _ENCODERS:
+def encoder_of(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's content, one per worker process."""
+    key = hash(vocabulary)
+    if key not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _ENCODERS[key] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[key]
+
+
+@lru_cache(None)
+def encoder(path: str):
+    return encoder_of(Path(path).read_bytes())
 
 
 def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
@@ -86,10 +93,13 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, vocabulary: str =
     """``doc``, ``n``: tokens of each text, texts without tokens left out."""
     slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text is not null and text <> ''")
     kind = slim.schema["doc"].dataType.simpleString()
+    # the file need be on the driver only; a vocabulary is some MB
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder_of(shared.value).encode_ordinary
         for p in batches:
-            yield pd.DataFrame({"doc": p["doc"].to_numpy(), "n": [count_tokens(t, vocabulary) for t in p["text"]]})
+            yield pd.DataFrame({"doc": p["doc"].to_numpy(), "n": [len(encode(t)) for t in p["text"]]})
 
     return slim.mapInPandas(run, f"doc {kind}, n bigint").filter("n > 0")
 
