@@ -12,7 +12,7 @@ without replacement, of the union of the two sets: u values, s of them in both,
    A list above ``list_rows`` records is salted over several tasks.
 2. *Estimate*: pairs met in a list are kept if s >= (t - e) u.  Sets of at most k words are sketched whole; between two
    such sets e is 0 and nothing can be lost.
-3. *Exact*: the likeness of the word sets themselves decides.
+3. *Exact*: the likeness of the whole word sets (as 64-bit values) decides.
 
 Equal word sets are one *class* before all this, so a third of all rows being copies of one record costs one list entry.
 """
@@ -75,15 +75,15 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     into one class); a null id is left out.  An empty table gives empty results.
     """
     t = threshold
-    base = records.select(F.col(id_col).alias("id"), F.array_distinct(words_col).alias("words")).filter("id is not null and size(words) > 0")
-    base = cut_lineage(base.withColumn("digest", set_digest(F.col("words"))))
+    base = records.select(F.col(id_col).alias("id"), word_hashes(F.col(words_col)).alias("h")).filter("id is not null and size(h) > 0")
+    base = cut_lineage(base.withColumn("digest", set_digest(F.col("h"))))
     # first() of the words: all members of a digest have the same set
-    classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("words").alias("words")).withColumn("n", F.size("words"))
+    classes = base.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("h").alias("h")).withColumn("n", F.size("h"))
     classes = cut_lineage(classes)
-    sketch = F.slice(F.sort_array(F.array_distinct(word_hashes(F.col("words")))), 1, k)
+    sketch = F.slice("h", 1, k)
     members = base.select("id", "digest").join(classes.select("digest", "class_id"), "digest").select("id", "class_id").distinct()
 
-    counts = cell_counts(classes, word_hashes(F.col("words")))
+    counts = cell_counts(classes, F.col("h"))
     up = lambda c: F.ceil(c - F.lit(1e-9)).cast("int")
     n = F.col("n")
     ordered = cut_lineage(rarest_first(classes.select("class_id", "n", sketch.alias("sketch")), "sketch", counts, "kept").select("class_id", "n", "kept"))
@@ -109,16 +109,19 @@ def similar_sets(records: DataFrame, id_col: str, words_col: str, threshold: flo
     below = lambda c: F.when(F.col("end").isNull(), F.size(c)).otherwise(F.size(F.filter(c, lambda v: v <= F.col("end"))))
     both = both.withColumn("end", end).withColumn("s", F.size(F.array_intersect("sx", "sy"))).withColumn("u", below("sx") + below("sy") - F.col("s"))
     union = F.when(F.col("end").isNull(), F.col("u")).otherwise((F.col("nx") + F.col("ny")) / F.lit(1 + t))
-    kept = both.filter(F.col("s") >= least_shared(F.col("u"), union, t, delta)).select("x", "y")
-
-    w = classes.select("class_id", "words", "n")
-    exact = (
-        kept.join(w.select(F.col("class_id").alias("x"), F.col("words").alias("wx"), F.col("n").alias("nx")), "x")
-        .join(w.select(F.col("class_id").alias("y"), F.col("words").alias("wy"), F.col("n").alias("ny")), "y")
-        .withColumn("both", F.size(F.array_intersect("wx", "wy")))
-        .withColumn("likeness", F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")))
-        .filter(F.col("likeness") >= t)
+    kept = cut_lineage(both.filter(F.col("s") >= least_shared(F.col("u"), union, t, delta)).select("x", "y", "s", "u", "end"))
+
+    # the sketches of two whole sets are the sets; of the others the sets themselves meet
+    whole = kept.filter("end is null").select("x", "y", (F.col("s") / F.col("u")).alias("likeness"))
+    w = classes.select("class_id", "h")
+    rest = (
+        kept.filter("end is not null")
+        .join(w.select(F.col("class_id").alias("x"), F.col("h").alias("hx")), "x")
+        .join(w.select(F.col("class_id").alias("y"), F.col("h").alias("hy")), "y")
+        .withColumn("both", F.size(F.array_intersect("hx", "hy")))
+        .select("x", "y", (F.col("both") / (F.size("hx") + F.size("hy") - F.col("both"))).alias("likeness"))
     )
+    exact = whole.unionByName(rest).filter(F.col("likeness") >= t)
     pairs = exact.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "likeness")
     return Similar(members, pairs)
 

@@ -86,9 +86,9 @@ def near_matches(evals: DataFrame, trains: DataFrame, threshold: float = 0.8, sp
     Keys may be any type and may repeat; texts without words match nothing.
     """
     t = threshold
-    side = lambda df, key, e: df.select(F.col(key), F.array_distinct("words").alias("_w"), F.lit(e).alias("e")).filter("size(_w) > 0")
+    side = lambda df, key, e: df.select(F.col(key), word_hashes(F.col("words")).alias("h"), F.lit(e).alias("e")).filter("size(h) > 0")
     texts = side(evals, "eval_key", True).unionByName(side(trains, "train_key", False), allowMissingColumns=True)
-    texts = cut_lineage(texts.select("eval_key", "train_key", "e", set_digest(F.col("_w")).alias("digest"), word_hashes(F.col("_w")).alias("h")))
+    texts = cut_lineage(texts.select("eval_key", "train_key", "e", set_digest(F.col("h")).alias("digest"), "h"))
     counts = cell_counts(texts, F.col("h"))
     strings = texts.groupBy("digest").agg(F.first("h").alias("h"), F.max("e").alias("e"), F.max(~F.col("e")).alias("t"))
     strings = rarity_keys(strings, F.col("h"), counts, "seq").withColumn("sid", F.monotonically_increasing_id())

@@ -31,14 +31,15 @@ def text_digest(value: Column) -> Column:
     return F.unhex(F.sha2(value, 256))
 
 
-def set_digest(word_set: Column) -> Column:
-    """128-bit key of a set of words (words hold no blanks)."""
-    return F.unhex(F.md5(F.array_join(F.sort_array(word_set), " ")))
+def word_hashes(words_: Column) -> Column:
+    """The distinct words of a text as ascending 64-bit values of the one hash function of all sketches and strings.  Two
+    words of one pair of texts share a value with a chance of some 10^-15."""
+    return F.sort_array(F.array_distinct(F.transform(words_, lambda w: F.xxhash64(w))))
 
 
-def word_hashes(word_set: Column) -> Column:
-    """The 64-bit values of the words under the one hash function of all sketches and strings."""
-    return F.transform(word_set, lambda w: F.xxhash64(w))
+def set_digest(hashes: Column) -> Column:
+    """128-bit key of a set of words, from its word_hashes."""
+    return F.struct(F.xxhash64(hashes).alias("d1"), F.xxhash64(F.lit(1), hashes).alias("d2"))
 
 
 def cell_counts(sets: DataFrame, hashes: Column) -> np.ndarray:
