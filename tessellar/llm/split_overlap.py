@@ -97,26 +97,32 @@ def near_matches(evals: DataFrame, trains: DataFrame, threshold: float = 0.8, sp
     n, m, i, j = (F.col(c) for c in ("n", "m", "i", "j"))
     least = lambda c: F.ceil(F.lit(t) * c - F.lit(1e-9)).cast("int")
     most = lambda c: F.floor(c / F.lit(t) + F.lit(1e-9)).cast("int")
-    head = lambda at, size: F.xxhash64(F.slice("seq", at + 1, size), size)
+    head = lambda at, size, case: F.xxhash64(F.slice("seq", at + 1, size), size, case)
     o = needed(n, m, t).cast("int")
+    # Segments of one word are kept apart by the longer of the two strings, as that tells how far either may be cut into:
+    # case 0 is a training string at least as long, 1 a shorter one.  Longer segments are all of case 2.
+    upto = lambda last, size, case: F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(x.alias("at"), F.lit(case).alias("case"), head(x, size, F.lit(case)).alias("head")))
 
     # training substrings; of one word only those that insertions alone can precede
     tr = strings.filter("t").select(F.col("sid").alias("td"), n.alias("m"), F.col("sig").alias("sig_t"), "seq")
     sizes = F.array_distinct(F.transform(F.sequence(least(m), most(m)), lambda x: segment_words(x, t, span)))
-    last = lambda s: F.when(s == 1, m - least(m)).otherwise(m - s)
-    subs = F.flatten(F.transform(F.filter(sizes, lambda s: s <= m), lambda s: F.transform(F.sequence(F.lit(0), last(s)), lambda x: F.struct(x.alias("j"), head(x, s).alias("head")))))
-    subs_of = tr.select("td", "m", "sig_t", F.explode(subs).alias("x")).select("td", "m", "sig_t", "x.j", "x.head")
+    one = F.concat(upto(m - least(m), F.lit(1), 0), upto(m - needed(m, m, t).cast("int"), F.lit(1), 1))
+    subs = F.flatten(F.transform(F.filter(sizes, lambda s: s <= m), lambda s: F.when(s == 1, one).otherwise(upto(m - s, s, 2))))
+    subs_of = tr.select("td", "m", "sig_t", F.explode(subs).alias("x")).select("td", "m", "sig_t", F.col("x.at").alias("j"), "x.head")
 
     # evaluation segments: as many as the partner length with the largest budget needs
     ev = strings.filter("e").select(F.col("sid").alias("ed"), "n", F.col("sig").alias("sig_e"), "seq").withColumn("size", segment_words(n, t, span))
     cuts = lambda m, o: F.when(F.col("size") == 1, n - o + 1).otherwise(n + m - 2 * o + 1)
     all_cuts = F.array_max(F.transform(F.sequence(least(n), most(n)), lambda x: cuts(x, needed(n, x, t).cast("int"))))
-    starts = F.filter(F.transform(F.sequence(F.lit(0), all_cuts - 1), lambda g: g * F.col("size")), lambda x: x + F.col("size") <= n)
-    segments = ev.withColumn("i", F.explode(starts)).select("ed", "n", "sig_e", "size", "i", head(i, F.col("size")).alias("head"))
+    own = F.concat(upto(n - needed(n, n, t).cast("int"), F.lit(1), 0), upto(n - least(n), F.lit(1), 1))
+    long = F.filter(F.transform(F.sequence(F.lit(0), all_cuts - 1), lambda g: g * F.col("size")), lambda x: x + F.col("size") <= n)
+    longer = F.transform(long, lambda x: F.struct(x.alias("at"), F.lit(2).alias("case"), head(x, F.col("size"), F.lit(2)).alias("head")))
+    segments = ev.withColumn("x", F.explode(F.when(F.col("size") == 1, own).otherwise(longer))).select("ed", "n", "sig_e", "size", F.col("x.at").alias("i"), "x.case", "x.head")
 
     subs_of, segments = salted(subs_of, segments, ["head"], "td", list_rows)
     budget = n + m - 2 * o
-    sized = (m >= least(n)) & (m <= most(n)) & (o <= F.least(n, m)) & (i < cuts(m, o) * F.col("size"))
+    right = (F.col("case") == 2) | (F.col("case") == F.when(m >= n, 0).otherwise(1))
+    sized = right & (m >= least(n)) & (m <= most(n)) & (o <= F.least(n, m)) & (i < cuts(m, o) * F.col("size"))
     near = F.abs(j - i) + F.abs((m - j) - (n - i)) <= budget
     alike = F.bit_count(F.col("sig_e").bitwiseXOR(F.col("sig_t"))) <= budget
     cand = segments.join(subs_of, ["head", "salt"]).filter(sized & near & alike).select("ed", "td", "n", "m", o.alias("o")).distinct()
