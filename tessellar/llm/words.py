@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellar.session import cut_lineage
+
 #: Cells of the word-frequency sketch.  A fixed number, so the sketch has one size (512 KB) at every input size.
 SKETCH_CELLS = 1 << 16
+#: Rows up to which the table of long lists is broadcast; a larger one is joined.
+SMALL = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -91,6 +95,12 @@ def salted(lists: DataFrame, looks: DataFrame, keys: list[str], owner: str, list
     """
     some = lists.filter(F.pmod(F.xxhash64(owner), F.lit(16)) == 0).groupBy(*keys).agg(F.count(F.lit(16)).alias("_c"))
     long = some.filter(F.col("_c") * 16 > list_rows).select(*keys, F.ceil(F.col("_c") * 16 / F.lit(list_rows)).cast("int").alias("_salts"))
+    long = cut_lineage(long)
+    found = long.count()
+    if not found:
+        return lists.withColumn("salt", F.lit(0)), looks.withColumn("salt", F.lit(0))
+    if found <= SMALL:
+        long = F.broadcast(long)  # at most a few keys and a number each
     n = F.coalesce("_salts", F.lit(1))
     a = lists.join(long, keys, "left").withColumn("salt", F.pmod(F.xxhash64(owner, F.lit(1)), n).cast("int")).drop("_salts")
     b = looks.join(long, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
