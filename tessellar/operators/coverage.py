@@ -72,14 +72,19 @@ def covers(need: Column, have: Column) -> Column:
 def covered_sets(needs: DataFrame, haves: DataFrame) -> DataFrame:
     """JN-12: ``needs`` (need_id, verbs) that some row of ``haves`` (have_id, verbs) covers, with the number of such rows.
 
-    A row that covers a set holds each of its elements: an equi-join on elements and a count, never all pairs.  An empty
-    need is covered by every row and is left out.
+    A row that covers a set holds each of its elements.  Each distinct set of either side is met once, however many rows
+    have it, and a needed set only the sets that hold its rarest element: never all pairs, and nothing grows with the
+    product of the rows that share an element.  An empty need is covered by every row and is left out, one with a null by none.
     """
-    n = needs.select("need_id", F.array_distinct("verbs").alias("v"))
-    each = n.select("need_id", F.size("v").alias("n"), F.explode("v").alias("e"))
-    other = haves.select("have_id", F.explode(F.array_distinct("verbs")).alias("e"))
-    met = each.join(other, "e").groupBy("need_id", "n", "have_id").agg(F.count(F.lit(1)).alias("m")).filter("m = n")
-    return met.groupBy("need_id").agg(F.count(F.lit(1)).alias("covering"))
+    n = needs.select("need_id", F.array_sort(F.array_distinct("verbs")).alias("v")).filter(F.size("v") > 0)
+    h = haves.groupBy(F.array_sort(F.array_distinct("verbs")).alias("have")).agg(F.count(F.lit(1)).alias("rows")).filter(F.size("have") > 0)
+    held = h.select("have", "rows", F.explode("have").alias("e"))
+    each = n.select("v").distinct().select("v", F.explode("v").alias("e"))
+    often = held.groupBy("e").agg(F.count(F.lit(1)).alias("sets"))
+    rarest = each.join(often, "e", "left").groupBy("v").agg(F.min(F.struct(F.coalesce("sets", F.lit(0)), "e")).alias("_r"))
+    met = rarest.select("v", F.col("_r.e").alias("e")).join(held, "e").filter(covers(F.col("v"), F.col("have")))
+    found = met.groupBy("v").agg(F.sum("rows").alias("covering"))
+    return n.distinct().join(found, "v").groupBy("need_id").agg(F.max("covering").alias("covering"))
 
 
 def childless(rows: DataFrame, key: str, parent: str) -> DataFrame:

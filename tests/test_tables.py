@@ -146,3 +146,23 @@ def test_streams(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "sess")).count() > 0
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_covered_sets_meets_each_set_once(spark):
+    import re
+
+    need = spark.range(2000).selectExpr("id as need_id", "if(id % 2 = 0, array('a', 'b'), array('b', 'a', 'z')) as verbs")
+    have = spark.range(2000).selectExpr("id div 2 as have_id", "if(id % 2 = 0, array('a', 'c', 'b'), array('b')) as verbs")
+    got = cov.covered_sets(need, have).collect()
+    assert sorted(r["need_id"] for r in got) == list(range(0, 2000, 2)) and {r["covering"] for r in got} == {1000}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    metrics = store.executionMetrics(store.executionsList().last().executionId()).values().mkString(";").split(";")
+    # two million pairs of rows share an element
+    assert max(int(m.replace(",", "")) for m in metrics if re.fullmatch(r"[\d,]+", m)) < 100_000
+
+
+def test_covered_sets_nulls_and_repeats(spark):
+    need = spark.createDataFrame([("n1", ["a", None]), ("n2", ["b", "a", "b"]), ("n3", None), ("n4", ["a"])], "need_id string, verbs array<string>")
+    have = spark.createDataFrame([("h1", ["a", None, "b"]), ("h2", ["a"]), ("h2", ["a"]), (None, ["b", "a"]), ("h3", None), ("h4", [])], "have_id string, verbs array<string>")
+    assert sorted(tuple(r) for r in cov.covered_sets(need, have).collect()) == [("n2", 2), ("n4", 4)]
