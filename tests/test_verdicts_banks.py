@@ -117,3 +117,19 @@ def test_acceptance_and_adapters(spark):
         open_table(spark, "nothing", "", "")
     with pytest.raises(ValueError):
         B.active_bank({}, "text")
+
+
+def test_miss_classes_of_a_bank_that_names_one_command(spark, tmp_path):
+    import re
+
+    import __spark_entry__ as entry
+
+    n = 1500
+    step = "array(named_struct('command', 'git commit -m x', 'comment', ''), named_struct('command', 'git push', 'comment', ''))"
+    spark.range(n).selectExpr("concat('r', id) as id", f"{step} as commands", "0.1d as risk").write.parquet(f"{tmp_path}/recipes.parquet")
+    spark.range(n).selectExpr("concat('g', id) as report_id", "concat('git commit and git push ', id) as query_text", "concat('r', id) as command_id", "if(id % 2 = 0, 'golden', 'extended') as kind", "cast(null as string) as mutation_kind", "'git commit' as primary_verb").write.parquet(f"{tmp_path}/golden_report.parquet")
+    assert {r["miss_class"] for r in entry.queries()["miss_classes"](spark, str(tmp_path)).collect()} == {"other"}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    metrics = store.executionMetrics(store.executionsList().last().executionId()).values().mkString(";").split(";")
+    assert max(int(m.replace(",", "")) for m in metrics if re.fullmatch(r"[\d,]+", m)) < 100_000
