@@ -11,7 +11,7 @@ from tessellar.config import SearchConfig
 from tessellar.operators.fulltext import bm25, build_index
 from tessellar.operators.ranking import collapse_channels, diversify, fuse, gate, head_scores
 from tessellar.operators.vectors import knn
-from tessellar.plans.hybrid import displayed, hybrid_search, open_catalog
+from tessellar.plans.hybrid import displayed, hybrid_search, load_catalog, open_catalog, save_catalog
 
 RECIPES = [
     ("r-undo", "Soft reset last commit", "undo last commit keep files", ["undo"], "undo", [], "synthetic", True, [("git reset --soft HEAD~1", "keep staged")], "", 0.4),
@@ -131,3 +131,20 @@ def test_knn_sorts_after_the_exchange_only(spark):
     plan = knn(v.withColumnRenamed("id", "query_id"), v, 3, dim=2)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange hashpartitioning(query_id") :]
     assert "MapInArrow" in below and "Sort [" not in below and "WindowGroupLimit" not in below
+
+
+def test_saved_catalog_is_searched_in_little_memory(spark, monkeypatch, tmp_path):
+    save_catalog(open_catalog(spark.createDataFrame(RECIPES, SCHEMA)), str(tmp_path))
+    cat = load_catalog(spark, str(tmp_path), strict=True)
+    taken, original = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, *a, **b: taken.append(f) or original(self, f, *a, **b))
+    _, gates = hybrid_search(spark.range(2000).selectExpr("id as query_id", "concat('undo commit ', id) as query"), cat)
+    assert gates.count() == 2000
+    flat = np.tile(np.random.default_rng(4).normal(size=(8000, 32)), 12).ravel()
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(8000)]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 384), pa.int32()), pa.array(flat))], names=["key", "v"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in taken[-1](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all scores of the batch would be 128 MB
+    assert rows == 2000 * 100 and peak < 100e6
