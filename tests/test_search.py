@@ -176,3 +176,17 @@ def test_knn_of_many_queries_sends_few_rows(spark, monkeypatch, repeats):
         assert len(want) <= sent[-1].count() <= 2 * blocks * len(want)
         if blocks == 1:
             assert sent[-1].count() == len(want)
+
+
+def test_displayed_rows_of_many_queries_come_of_few_sent(spark, monkeypatch):
+    from tessellar.operators import vectors
+    from tessellar.operators.fulltext import embed_text
+
+    recipes = spark.createDataFrame([(f"r{i:03d}", *RECIPES[0][1:2], f"undo commit {i}", *RECIPES[0][3:]) for i in range(120)], SCHEMA)
+    cat = open_catalog(recipes, recipes.select("id", vectors.embed(embed_text()).alias("embedding")).repartition(4))
+    sent, original = [], vectors.top
+    monkeypatch.setattr(vectors, "top", lambda df, *a: sent.append(df) or original(df, *a))
+    shown = displayed(*hybrid_search(spark.range(5).selectExpr("cast(id as string) as query_id", "concat('undo commit ', id) as query"), cat))
+    assert {r["query_id"] for r in shown.collect()} == set("01234")
+    # four tasks that each send their best would send all 120 a query
+    assert sent[-1].count() == 5 * 100
