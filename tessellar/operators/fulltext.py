@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions.commands import STEPS
 from tessellar.functions.text import index_tokens, query_terms
-from tessellar.session import cut_lineage
+from tessellar.session import cut_lineage, spread
 
 
 def recipe_body(steps: str = "commands") -> Column:
@@ -44,31 +44,35 @@ def bm25(queries: DataFrame, postings: DataFrame, sizes: DataFrame, query_id: st
 
     Each distinct phrase is matched once, whatever the number of queries with it; a query then meets the documents of
     its rarest phrase only, and the other phrases are looked up for those.  No step multiplies queries by documents.
+    Scores are summed as decimals, so they don't depend on the order in which their parts come.
     """
+    total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean")).first()  # two numbers
+    docs, mean, places = F.lit(total["docs"]), F.lit(float(total["mean"] or 1.0)), total["docs"] * float(total["mean"] or 1.0)
     wanted = cut_lineage(query_phrases(queries, query_id, query, compat))
     distinct = wanted.select("phrase").distinct().withColumn("n_terms", F.size("phrase"))
     terms = cut_lineage(distinct.select("phrase", "n_terms", F.posexplode("phrase").alias("offset", "term")))
-    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    # a phrase starts from the postings of its rarest term; the other terms are looked up at the places they would be
-    rare = terms.join(asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("phrase", "n_terms").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("df", "offset", "term")).alias("r"))
+    # one term: counted where its postings are.  No semi-joins, which would be moved below the spread; where both sides have
+    # partitions of their own, those of a side without an exchange at its top would be taken, so both are spread
+    alone = spread(postings.select("term", "doc_id"), places, "term").join(terms.filter("n_terms = 1").select("phrase", "term"), "term")
+    single = alone.groupBy("term", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("f")).select("phrase", "doc_id", "f")
+    # several terms start from the postings of the rarest; the others are looked up at the places they would be
+    linked = terms.filter("n_terms > 1")
+    asked = cut_lineage(spread(postings, places, "term").join(spread(linked.select("term").distinct(), places, "term"), "term").select("term", "doc_id", "pos"))
+    rare = linked.join(asked.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("phrase", "n_terms").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("df", "offset", "term")).alias("r"))
     anchors = rare.filter("k = n_terms").select("phrase", "n_terms", F.col("r.term").alias("term"), F.col("r.offset").alias("offset")).join(asked, "term").select("phrase", "n_terms", "doc_id", (F.col("pos") - F.col("offset")).alias("start"))
-    single = anchors.filter("n_terms = 1").groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("f"))
-    places = anchors.filter("n_terms > 1").join(terms.select("phrase", "offset", "term"), "phrase").select("phrase", "n_terms", "doc_id", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
-    met = places.join(asked, ["term", "doc_id", "pos"], "left_semi")
+    due = anchors.join(linked.select("phrase", "offset", "term"), "phrase").select("phrase", "n_terms", "doc_id", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
+    met = due.join(asked, ["term", "doc_id", "pos"], "left_semi")
     several = met.groupBy("phrase", "n_terms", "doc_id", "start").agg(F.count(F.lit(1)).alias("k")).filter("k = n_terms").groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("f"))
-    total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("mean")).first()  # two numbers
-    docs, mean = F.lit(total["docs"]), F.lit(float(total["mean"] or 1.0))
-    hits = cut_lineage(single.unionByName(several))  # read for the frequencies, the scores and the candidates
+    hits = cut_lineage(single.unionByName(several))  # read for the frequencies, the candidates and the scores
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    rated = hits.join(df, "phrase").join(sizes, "doc_id")
-    part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / mean))
-    rated = rated.select("phrase", "doc_id", part.alias("part"))
     ranked = wanted.join(df, "phrase", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = ranked.groupBy("query_id", "n_phrases").agg(F.min(F.struct("n", "phrase")).alias("r")).filter("r.n > 0").select("query_id", "n_phrases", F.col("r.phrase").alias("phrase"))
-    candidates = rarest.join(rated.select("phrase", "doc_id"), "phrase").select("query_id", "n_phrases", "doc_id")
-    found = candidates.join(wanted.select("query_id", "phrase"), "query_id").join(rated, ["phrase", "doc_id"])
-    return found.groupBy("query_id", "n_phrases", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.sum("part").alias("s")).filter("m = n_phrases").select("query_id", "doc_id", (-F.col("s")).alias("bm25"))
+    candidates = rarest.join(spread(hits.select("phrase", "doc_id"), places, "phrase"), "phrase").select("query_id", "n_phrases", "doc_id").join(sizes, "doc_id")
+    found = candidates.join(ranked.select("query_id", "phrase", "n"), "query_id").join(spread(hits, places, "phrase", "doc_id"), ["phrase", "doc_id"])
+    idf = F.log((docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    part = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / mean))
+    scored = found.groupBy("query_id", "n_phrases", "doc_id").agg(F.count(F.lit(1)).alias("m"), F.sum(part.cast("decimal(38,28)")).cast("double").alias("s"))
+    return scored.filter("m = n_phrases").select("query_id", "doc_id", (-F.col("s")).alias("bm25"))
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:

@@ -14,7 +14,7 @@ from tessellar.functions.text import collapse_space, query_tokens
 from tessellar.operators.fulltext import bm25, build_index, embed_text, recipe_body, top
 from tessellar.operators.ranking import collapse_channels, diversify, fuse, gate, head_scores, named_verbs, ranked, verb_boost
 from tessellar.operators.vectors import embed, knn
-from tessellar.session import cut_lineage
+from tessellar.session import cut_lineage, spread
 from tessellar.sources.writers import checksum, put_meta, read_meta, require_version, verify
 
 #: Layout of saved catalogs; another one is refused.
@@ -91,12 +91,17 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
     """
     q = queries.select("query_id", collapse_space(F.coalesce("query", F.lit(""))).alias("query"))
     qv = q.filter("query <> ''").select("query_id", ports.embed(F.col("query")).alias("embedding")) if query_vectors is None else query_vectors
-    by_vector = ports.by_vector(qv, catalog.vectors, cfg.recall_k).join(catalog.recipes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("id"), "cosine")
+    by_vector = ports.by_vector(qv, catalog.vectors, cfg.recall_k).select("query_id", F.col("doc_id").alias("id"), "cosine")
     by_text = top(ports.by_text(q, catalog.postings, catalog.sizes, compat=cfg.compat_terms), ["query_id"], [F.asc("bm25"), F.asc("doc_id")], cfg.recall_k).select("query_id", F.col("doc_id").alias("id"), "bm25")
-    hits = fuse(collapse_channels(by_vector, by_text), cfg)
+    rows = 2 * q.count() * cfg.recall_k
+    # recipes come before the fusion, so that all that follows stays with its query; vectors without a recipe are no hits
+    known = catalog.recipes.withColumn("_known", F.lit(True))
+    hits = spread(collapse_channels(by_vector, by_text), rows, "id").join(known, "id", "left")
+    hits = hits.withColumn("cosine", F.when(F.col("_known"), F.col("cosine"))).filter("_known or bm25 is not null")
+    hits = fuse(spread(hits, rows, "query_id"), cfg).filter("_known").drop("_known")
     words = q.withColumn("tokens", query_tokens(F.col("query")))
     words = cut_lineage(named_verbs(words, catalog.verbs).select("query_id", "tokens", "named"))
-    hits = hits.join(catalog.recipes, "id").join(words, "query_id")
+    hits = hits.join(words, "query_id")
     # hits of the text channel alone carry no steps when they are boosted and ordered
     seen = F.col("cosine").isNotNull()
     boost = F.when(seen, verb_boost(F.col("named"), F.col("tokens"), F.col("primary_verb"), F.col("verbs"), cfg)).otherwise(F.lit(0.0))
@@ -108,7 +113,7 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
         .withColumn("score", F.round("score", 12))
     )
     results = cut_lineage(ranked(hits).select("query_id", "id", "rank", "score", "cosine", "bm25", "score_cosine", "score_bm25", "boost", "fingerprint"))
-    gates = gate(head_scores(results), cfg)
+    gates = gate(head_scores(spread(results, rows, "query_id")), cfg)
     gates = q.join(gates, "query_id", "left").select(
         "query_id",
         "confidence",
@@ -119,9 +124,9 @@ def hybrid_search(queries: DataFrame, catalog: Catalog, cfg: SearchConfig = Sear
     return results, gates
 
 
-def displayed(results: DataFrame, gates: DataFrame) -> DataFrame:
-    """The rows shown per query: diverse, and as many as the gate lets through."""
-    return diversify(results).join(gates.select("query_id", "display_count"), "query_id").filter("display_rank <= display_count").drop("display_count")
+def displayed(results: DataFrame, gates: DataFrame, rows: int = 0) -> DataFrame:
+    """The rows shown per query: diverse, and as many as the gate lets through.  ``rows``: as many results as there may be."""
+    return diversify(spread(results, rows, "query_id")).join(gates.select("query_id", "display_count"), "query_id").filter("display_rank <= display_count").drop("display_count")
 
 
 def search(text: str, catalog: Catalog, cfg: SearchConfig = SearchConfig(), ports: Ports = Ports()) -> tuple[DataFrame, DataFrame]:

@@ -80,8 +80,9 @@ def hybrid_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_displayed(spark: SparkSession, d: str) -> DataFrame:
-    results, gates = hybrid_search(_q(spark, d), open_catalog(_t(spark, d, "recipes")))
-    return _r6(displayed(results, gates).select("query_id", "display_rank", "id", "score"))
+    q = _q(spark, d)
+    results, gates = hybrid_search(q, open_catalog(_t(spark, d, "recipes")))
+    return _r6(displayed(results, gates, 2 * q.count() * SearchConfig().recall_k).select("query_id", "display_rank", "id", "score"))
 
 
 def hybrid_from_tables(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task sorts at once, where ``spread`` knows how many there are in all.
+TASK_ROWS = 1 << 17
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
@@ -40,3 +43,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, rows: float, *by: str) -> DataFrame:
+    """Rows by the hash of columns, for windows and joins on them: in more partitions than the session's where these would have over
+    ``TASK_ROWS`` of about ``rows`` rows each, as it is else.  A task's sort then holds a bounded number, however many there are."""
+    parts = min(4096, -(-int(rows) // TASK_ROWS))
+    return df.repartition(parts, *by) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

@@ -190,3 +190,32 @@ def test_displayed_rows_of_many_queries_come_of_few_sent(spark, monkeypatch):
     assert {r["query_id"] for r in shown.collect()} == set("01234")
     # four tasks that each send their best would send all 120 a query
     assert sent[-1].count() == 5 * 100
+
+
+def test_search_sorts_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    from tessellar import session
+    from tessellar.operators import fulltext
+    from tessellar.plans import hybrid
+
+    recipes = spark.createDataFrame([(f"r{i:03d}", f"notes.v{i % 7} for file.txt", f"undo commit {i}", *RECIPES[0][3:]) for i in range(120)], SCHEMA)
+    q = spark.range(12).selectExpr("cast(id as string) as query_id", "concat('undo file.txt notes.v', id) as query")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = [rows(df) for df in hybrid_search(q, open_catalog(recipes))]
+    kept = []
+    for module in (fulltext, hybrid):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, original=module.cut_lineage: kept.append(original(df)) or kept[-1])
+    monkeypatch.setattr(session, "TASK_ROWS", 60, raising=False)
+    got = hybrid_search(q, open_catalog(recipes))
+    assert [rows(df) for df in got] == want and len(want[0]) >= 1200
+    # postings of terms in phrases, hits of phrases, results: 120 texts of 15 words or more, 12 queries with up to 200 hits
+    of = {tuple(df.columns): df.rdd.getNumPartitions() for df in kept}
+    assert of["term", "doc_id", "pos"] >= 30 and of["phrase", "doc_id", "f"] >= 30 and of[tuple(got[0].columns)] >= 40
+
+
+def test_vectors_without_a_recipe_are_no_hits(spark):
+    recipes = spark.createDataFrame(RECIPES, SCHEMA)
+    cat = open_catalog(recipes)
+    more = open_catalog(recipes, cat.vectors.unionByName(cat.vectors.filter("id = 'r-stash'").withColumn("id", F.lit("gone"))))
+    q = spark.createDataFrame([("a", "stash untracked changes"), ("b", "git status")], "query_id string, query string")
+    rows = lambda c: sorted(map(tuple, hybrid_search(q, c)[0].collect()))
+    assert rows(more) == rows(cat)
